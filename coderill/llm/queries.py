@@ -6,24 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extshuffle, sstable
+from . import extshuffle, licenses, sstable, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolve(warc.captures_of_pages(_read(spark, sf_dir, "pages")))
+
+
 def op3_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.to_shards(_read(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extshuffle.external_shuffle(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sstable_shards, op10_external_shuffle)}
+    return {f.__name__: f for f in (op1_warc_revisits, op3_sstable_shards, op8_license_scan, op10_external_shuffle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_revisits": warc.ORACLE_SQL, "op8_license_scan": licenses.oracle_sql()}
