@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extshuffle, licenses, sstable, warc
+from . import extshuffle, langid, licenses, sstable, warc, weakrules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,10 +17,21 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(warc.captures_of_pages(_read(spark, sf_dir, "pages")))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accepted documents."""
+    docs = _read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs)).where("accepted")
+
+
 def op3_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.to_shards(_read(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept."""
+    return weakrules.score(_read(spark, sf_dir, "documents")).where("keep")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
@@ -30,7 +41,7 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_revisits, op3_sstable_shards, op8_license_scan, op10_external_shuffle)}
+    return {f.__name__: f for f in (op1_warc_revisits, op2_language_id, op3_sstable_shards, op4_quality_rules, op8_license_scan, op10_external_shuffle)}
 
 
 def oracle_sql() -> dict[str, str]:
