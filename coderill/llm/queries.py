@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extshuffle, langid, licenses, sstable, warc, weakrules
+from . import extshuffle, langid, licenses, sstable, tiling, warc, weakrules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,12 +36,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extshuffle.external_shuffle(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_revisits, op2_language_id, op3_sstable_shards, op4_quality_rules, op8_license_scan, op10_external_shuffle)}
+    return {f.__name__: f for f in (op1_warc_revisits, op2_language_id, op3_sstable_shards, op4_quality_rules, op8_license_scan, op9_decontamination, op10_external_shuffle)}
 
 
 def oracle_sql() -> dict[str, str]:
