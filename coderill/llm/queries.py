@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, extshuffle, langid, licenses, sstable, tiling, warc, weakrules
+from . import bpe, extshuffle, langid, licenses, ordermin, sstable, tiling, warc, weakrules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weakrules.score(_read(spark, sf_dir, "documents")).where("keep")
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that goes, with the near duplicate of it that stays."""
+    return ordermin.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of every document, and whether they decode to its text."""
     return bpe.encode(_read(spark, sf_dir, "documents"))
@@ -50,7 +55,7 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_revisits, op2_language_id, op3_sstable_shards, op4_quality_rules, op7_bpe, op8_license_scan, op9_decontamination, op10_external_shuffle)}
+    return {f.__name__: f for f in (op1_warc_revisits, op2_language_id, op3_sstable_shards, op4_quality_rules, op5_order_minhash, op7_bpe, op8_license_scan, op9_decontamination, op10_external_shuffle)}
 
 
 def oracle_sql() -> dict[str, str]:
