@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, extshuffle, langid, licenses, ordermin, sstable, tiling, warc, weakrules
+from . import bpe, extshuffle, langid, licenses, ordermin, sstable, tiling, transcripts, warc, weakrules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op6_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical turns of every conversation, recovered from its transcript."""
+    made = transcripts.transcripts_of(_read(spark, sf_dir, "conversations"))
+    return transcripts.parse(made, transcripts.fit(made))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of every document, and whether they decode to its text."""
     return bpe.encode(_read(spark, sf_dir, "documents"))
@@ -55,7 +61,7 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_revisits, op2_language_id, op3_sstable_shards, op4_quality_rules, op5_order_minhash, op7_bpe, op8_license_scan, op9_decontamination, op10_external_shuffle)}
+    return {f.__name__: f for f in (op1_warc_revisits, op2_language_id, op3_sstable_shards, op4_quality_rules, op5_order_minhash, op6_chat_turns, op7_bpe, op8_license_scan, op9_decontamination, op10_external_shuffle)}
 
 
 def oracle_sql() -> dict[str, str]:
