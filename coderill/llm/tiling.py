@@ -112,7 +112,9 @@ class Benchmark:
             many = right - left[hit]
             slot = np.repeat(left[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             triple = np.unique(np.stack([np.repeat(doc, many), self.owner[slot], self.place[slot]]), axis=1)
-            edge = np.flatnonzero(np.append(True, (np.diff(triple[:2]) != 0).any(0))) if triple.shape[1] else []
+            if not triple.shape[1]:
+                continue
+            edge = np.flatnonzero(np.append(True, (np.diff(triple[:2]) != 0).any(0)))
             for s, e in zip(edge, [*edge[1:], triple.shape[1]], strict=True):
                 d, item = int(triple[0, s]), int(triple[1, s])
                 # what seeds cover bounds what tiles can cover
