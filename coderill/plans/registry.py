@@ -1,15 +1,45 @@
-"""Queries over the driver tables, by operator."""
+"""Queries over the driver tables, by operator, with the SQL that each is checked against.
+
+Every query runs over whole tables. A limit stands only where the operator is a top-k report.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from coderill.adapters import Logical, with_views
+
+_QUERIES: dict[str, Callable[[Logical], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+#: Views that several queries of one module share.
+SHARED: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function of the logical tables under its own name."""
+
+    def register(f: Callable[[Logical], DataFrame]) -> Callable[[Logical], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+@cache
+def _load() -> None:
+    from coderill.plans import coupling, crosscut, history, structure, text  # noqa: F401
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return {name: (lambda spark, sf_dir, f=f: f(Logical(spark, sf_dir))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return {name: with_views(sql, SHARED) for name, sql in _SQL.items()}
