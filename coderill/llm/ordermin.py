@@ -8,7 +8,7 @@ probability that falls with their edit distance, also where the same k-mers stan
 Equal word sequences are one node. Of the nodes under one key, the least is the hub, and each other one is a candidate for
 it; as nodes are hashes, it is mostly the same hub for the same group of copies, so a group of n yields about n candidates
 and not n squared. Candidates are aligned word by word in a band of (1 - SIMILARITY) times the longer length, which is exact
-for all pairs that reach SIMILARITY; what a count of shared words rules out already is not aligned. Connected components of
+for all pairs that reach SIMILARITY; what is connected already and what a count of shared words rules out is not aligned. Connected components of
 the verified pairs are the groups, and the row of least doc_id stays in each.
 
 Short texts (SHORT words or less) have keys of single words too, since few of their k-mers survive a change.
@@ -42,6 +42,8 @@ SKETCHES = 48
 #: Edit similarity, 1 - distance / longer length in words, from which texts are near duplicates.
 SIMILARITY = 0.75
 SHORT = 24
+#: Candidates of one hub that one task aligns.
+HUB_ROWS = 4096
 SHORT_SKETCHES = 16
 SHORT_PICKED = 2
 
@@ -256,7 +258,8 @@ def candidates(signatures: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, df: DataFrame, least: float, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(hub, node, similarity) of the candidates that an alignment bears out.
 
-    Words are read off the texts again, for the nodes that are in some pair.
+    Words are read off the texts again, for the nodes that are in some pair, once for each node. They move to their hub, which
+    comes first; a task holds one hub and one other node. Hubs of many candidates are sent to several tasks.
     """
     spark = df.sparkSession
     wanted = materialise(pairs.select(F.explode(F.array("hub", "node")).alias("node")).distinct(), "wanted")
@@ -276,28 +279,54 @@ def verified(pairs: DataFrame, df: DataFrame, least: float, limit: int = BROADCA
                     first = first[chosen.value[at_chosen] == node[first]] if len(chosen.value) else first[:0]
                 size = np.diff(at)[first]
                 own_at = np.concatenate([[0], np.cumsum(size)])
-                own = words[np.arange(own_at[-1]) + np.repeat(at[:-1][first] - own_at[:-1], size)]
-                blob = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((own_at * 8).astype(np.int32)), pa.py_buffer(own)])
+                # 32 bits tell the words of two texts apart
+                own = (words[np.arange(own_at[-1]) + np.repeat(at[:-1][first] - own_at[:-1], size)] >> _U(32)).astype(np.uint32)
+                blob = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((own_at * 4).astype(np.int32)), pa.py_buffer(own)])
                 yield pa.RecordBatch.from_arrays([pa.array(node[first]), blob], names=["node", "words"])
 
     words = df.select("text").where("text is not null").mapInArrow(run, "node bigint, words binary")
     if not few:
         words = words.join(wanted, "node", "left_semi")
-    words = materialise(words.groupBy("node").agg(F.any_value("words").alias("words")), "words")
+    words = words.groupBy("node").agg(F.any_value("words").alias("words"))
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("parts"))
+    members = pairs.join(parts, "hub").select("node", "hub", F.pmod("node", "parts").cast("int").alias("part"))
+    hubs = parts.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = words.join(members.unionByName(hubs), "node").repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("node") != F.col("hub"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = None
         for b in batches:
+            nodes, owners = b.column(0).to_numpy(), b.column(1).to_numpy()
             keep, found = [], []
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                s = similarity(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), least)
+            for i in range(b.num_rows):
+                own = np.frombuffer(b.column(2)[i].as_buffer(), np.uint32)
+                if nodes[i] == owners[i]:
+                    hub = own.copy()
+                    continue
+                s = similarity(hub, own, least)
                 if s is not None:
                     keep.append(i)
                     found.append(s)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(found, pa.float64())], names=["hub", "node", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(owners[keep]), pa.array(nodes[keep]), pa.array(found, pa.float64())], names=["hub", "node", "similarity"])
 
-    met = pairs.join(words, "node").join(words.select(F.col("node").alias("hub"), F.col("words").alias("hub_words")), "hub")
-    return met.select("hub", "node", "hub_words", "words").mapInArrow(align, "hub bigint, node bigint, similarity double")
+    return met.select("node", "hub", "words").mapInArrow(align, "hub bigint, node bigint, similarity double")
+
+
+def connected(pairs: DataFrame, df: DataFrame, least: float) -> DataFrame:
+    """(node, component) over all candidates that an alignment bears out.
+
+    First every node meets the least of its hubs. What that has connected already needs no further proof, so of the other
+    candidates only those between different components are aligned; the components come out as if all had been.
+    """
+    first = pairs.groupBy("node").agg(F.min("hub").alias("hub")).select("hub", "node")
+    edges = materialise(verified(first, df, least), "verified")
+    found = components(edges)
+    rest = pairs.join(first, ["hub", "node"], "left_anti")
+    ends = found.select(F.col("node").alias("hub"), F.col("component").alias("a")), found.select("node", F.col("component").alias("b"))
+    rest = rest.join(ends[0], "hub", "left").join(ends[1], "node", "left").where("not (coalesce(a, hub) <=> coalesce(b, node))").select("hub", "node")
+    rest = materialise(rest, "rest")
+    more = materialise(verified(rest, df, least), "verified")
+    return components(edges.unionByName(more)) if not more.isEmpty() else found
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -327,9 +356,8 @@ def groups(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
     workers_see_package(df.sparkSession)
     signatures = materialise(_signatures(df), "signatures")
     pairs = materialise(candidates(signatures), "candidates")
-    edges = materialise(verified(pairs, df, least), "verified")
     rows = signatures.select("doc_id", "node")
-    found = rows.join(components(edges), "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    found = rows.join(connected(pairs, df, least), "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node"))
     summed = found.groupBy("component").agg(first.alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return found.join(summed, "component").select("doc_id", "node", "component", F.col("kept.doc_id").alias("kept_id"), F.col("kept.node").alias("kept_node"), "n")
