@@ -1,0 +1,32 @@
+"""From source text to (entity, fact) rows, one function for each language."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+EXTENSIONS: dict[str, tuple[str, ...]] = {
+    "python": (".py", ".pyw"),
+    "typescript": (".ts", ".tsx"),
+    "javascript": (".js", ".jsx", ".mjs", ".cjs"),
+    "csharp": (".cs",),
+    "java": (".java",),
+    "rust": (".rs",),
+    "cpp": (".cpp", ".cc", ".cxx", ".hpp", ".h", ".hxx"),
+    "go": (".go",),
+}
+SKIPPED = {".git", "__pycache__", "node_modules", "venv", ".venv", "env", "build", "dist", "target", "bin", "obj", "vendor", ".tox", ".pytest_cache", ".mypy_cache", "coverage", "out", "packages", ".vs", ".idea", ".gradle"}
+#: Names that generated or bundled files end with.
+GENERATED = (".g.cs", ".designer.cs", ".generated.cs", ".min.js", ".bundle.js", ".d.ts")
+
+
+def parse(language: str, path: str, text: str) -> Iterator[tuple[str, dict]]:
+    """A module fact and those of all that it holds."""
+    from coderill.parsers import python_ast, scanners
+
+    if path.lower().endswith(GENERATED):
+        return
+    yield "module", {"lines": text.count("\n") + 1}
+    if language == "python":
+        yield from python_ast.entities(text)
+    else:
+        yield from scanners.entities(language, text)
