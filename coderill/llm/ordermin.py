@@ -60,7 +60,7 @@ def labelled_kmers(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
     n = len(at) - 1
     size = np.diff(at)
     width = np.minimum(k, np.maximum(size, 1))
-    many = size - width + 1 - (size == 0)
+    many = np.where(size == 0, 0, size - width + 1)
     starts = np.concatenate([[0], np.cumsum(many)])
     owner = np.repeat(np.arange(n), many)
     first = np.arange(starts[-1]) - starts[owner] + at[owner]
