@@ -36,15 +36,15 @@ def quality(functions: DataFrame, hints: DataFrame, measured: DataFrame | None =
     return out.withColumn("overall", overall).withColumn("band", band(F.col("overall")))
 
 
-def recommendations(scored: DataFrame) -> DataFrame:
+def recommendations(scored: DataFrame, most_complex: int = 10, least_typed: float = 50, least_overall: float = 60) -> DataFrame:
     """(topic, priority) of each rule that the scores set off."""
 
     def when(condition: Column, topic: str, priority: str) -> Column:
         return F.when(condition, F.struct(F.lit(topic).alias("topic"), F.lit(priority).alias("priority")))
 
     rules = F.array(
-        when(F.col("high_complexity_count") > 10, "complexity", "high"), when(F.col("type_score") < 50, "types", "high"),
-        when(F.col("high_risk_modules") > 0, "stability", "medium"), when(F.col("overall") < 60, "overall", "high"),
+        when(F.col("high_complexity_count") > most_complex, "complexity", "high"), when(F.col("type_score") < least_typed, "types", "high"),
+        when(F.col("high_risk_modules") > 0, "stability", "medium"), when(F.col("overall") < least_overall, "overall", "high"),
     )
     return scored.select(F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("r")).select("r.topic", "r.priority")
 

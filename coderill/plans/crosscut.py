@@ -118,9 +118,10 @@ def prj_score_band(t: Logical) -> DataFrame:
     return scored(t).select("overall", "band")
 
 
-@query("select 'complexity' as topic, 'high' as priority from vw_scored where high_complexity_count > 10 union all select 'types', 'high' from vw_scored where type_score < 50 union all select 'stability', 'medium' from vw_scored where high_risk_modules > 0 union all select 'overall', 'high' from vw_scored where overall < 60")
+@query("select 'complexity' as topic, 'high' as priority from vw_scored where high_complexity_count > 10 union all select 'types', 'high' from vw_scored where type_score < 90 union all select 'stability', 'medium' from vw_scored where high_risk_modules > 0 union all select 'overall', 'high' from vw_scored where overall < 90")
 def prj_recommendations(t: Logical) -> DataFrame:
-    return quality.recommendations(scored(t))
+    # the driver tables score well: stricter limits than the defaults
+    return quality.recommendations(scored(t), least_typed=90, least_overall=90)
 
 
 @query("select kind, n, case when n > 0 then advice end as advice from (select 'hotspots' as kind, (select count(*) from vw_hot) as n, 'split or test the busiest modules' as advice union all select 'cycles', (select count(distinct component) from vw_scc), 'break import cycles' union all select 'hidden', (select count(*) from vw_hidden), 'make the dependency explicit')")

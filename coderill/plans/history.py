@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coderill.adapters import AS_OF, Logical
@@ -10,7 +10,8 @@ from coderill.functions import scalars
 from coderill.operators import activity, temporal
 from coderill.plans.registry import SHARED, query
 
-NOW = F.lit(AS_OF).cast("timestamp")
+def now() -> Column:
+    return F.lit(AS_OF).cast("timestamp")
 
 SHARED |= {
     "vw_dated": "select c.*, k.author_email as email, k.ts from lg_live c join lg_commits k on k.id = c.commit_id",
@@ -34,7 +35,7 @@ def stats(t: Logical) -> DataFrame:
 
 
 def aged(t: Logical) -> DataFrame:
-    return temporal.code_age(churned(t), NOW)
+    return temporal.code_age(churned(t), now())
 
 
 @query("select * from vw_churn")

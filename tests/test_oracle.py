@@ -52,3 +52,12 @@ def test_entry_module(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     if SF.exists():
         assert e.entry(spark).columns == ["file_a", "file_b", "co_change_count", "jaccard_similarity"]
+
+
+def test_registry_needs_no_session():
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
