@@ -7,16 +7,18 @@ from collections.abc import Iterator
 EXTENSIONS: dict[str, tuple[str, ...]] = {
     "python": (".py", ".pyw"),
     "typescript": (".ts", ".tsx"),
-    "javascript": (".js", ".jsx", ".mjs", ".cjs"),
+    "javascript": (".cjs", ".mjs", ".jsx", ".js"),
     "csharp": (".cs",),
     "java": (".java",),
     "rust": (".rs",),
-    "cpp": (".cpp", ".cc", ".cxx", ".hpp", ".h", ".hxx"),
+    "cpp": (".h", ".hpp", ".hxx", ".cc", ".cpp", ".cxx"),
     "go": (".go",),
 }
-SKIPPED = {".git", "__pycache__", "node_modules", "venv", ".venv", "env", "build", "dist", "target", "bin", "obj", "vendor", ".tox", ".pytest_cache", ".mypy_cache", "coverage", "out", "packages", ".vs", ".idea", ".gradle"}
+SKIPPED = set(
+    "venv vendor target packages out obj node_modules env dist coverage build bin __pycache__ .vs .venv .tox .pytest_cache .mypy_cache .idea .gradle .git".split()
+)
 #: Names that generated or bundled files end with.
-GENERATED = (".g.cs", ".designer.cs", ".generated.cs", ".min.js", ".bundle.js", ".d.ts")
+GENERATED = (".d.ts", ".min.js", ".designer.cs", ".bundle.js", ".g.cs", ".generated.cs")
 
 
 def parse(language: str, path: str, text: str) -> Iterator[tuple[str, dict]]:

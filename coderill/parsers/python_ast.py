@@ -21,15 +21,14 @@ def complexity(node: ast.AST) -> int:
 
 def dotted(node: ast.AST) -> str | None:
     """The name of a plain or dotted reference, that of a call's or subscript's head else."""
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        head = dotted(node.value)
-        return f"{head}.{node.attr}" if head else node.attr
-    if isinstance(node, ast.Call):
-        return dotted(node.func)
-    if isinstance(node, ast.Subscript):
-        return dotted(node.value)
+    match node:
+        case ast.Name(id=name):
+            return name
+        case ast.Attribute(value=head, attr=name):
+            before = dotted(head)
+            return f"{before}.{name}" if before else name
+        case ast.Call(func=head) | ast.Subscript(value=head):
+            return dotted(head)
     return None
 
 

@@ -51,7 +51,7 @@ def _import(to: str, name: str, alias: str | None, kind: str, line: int, relativ
 
 
 def _script_imports(text: str) -> Iterator[tuple[str, dict]]:
-    for m in re.finditer(r"\bimport\s+(?:type\s+)?(?:([\w$]+)\s*,?\s*)?(?:\{([^}]*)\}|\*\s*as\s+([\w$]+))?\s*(?:from\s*)?['\"]([^'\"]+)['\"]", text):
+    for m in re.finditer(r"\bimport\s+(?:type\s+)?(?:([\w$]+)\s*,?\s*)?(?:\{([^}]*)\}|\*\s*as\s+([\w$]+))?\s*(?:from\s*)?[\"'`]([^\"'`]+)[\"'`]", text):
         default, named, space, to = m.groups()
         at, relative = line_of(text, m.start()), to.startswith(("./", "../"))
         if default:
@@ -64,11 +64,11 @@ def _script_imports(text: str) -> Iterator[tuple[str, dict]]:
             yield _import(to, "*", space, "es6", at, relative)
         if not (default or named or space):
             yield _import(to, to, None, "es6", at, relative)
-    for m in re.finditer(r"(?:(?:const|let|var)\s+(?:([\w$]+)|\{([^}]*)\})\s*=\s*)?\brequire\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", text):
+    for m in re.finditer(r"(?:(?:const|let|var)\s+(?:([\w$]+)|\{([^}]*)\})\s*=\s*)?\brequire\s*\(\s*[\"'`]([^\"'`]+)[\"'`]\s*\)", text):
         names = [m[1]] if m[1] else [x.split(":")[0].strip() for x in (m[2] or "").split(",") if x.strip()]
         for n in names or [m[3]]:
             yield _import(m[3], n, None, "require", line_of(text, m.start()), m[3].startswith(("./", "../")))
-    for m in re.finditer(r"\bimport\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", text):
+    for m in re.finditer(r"\bimport\s*\(\s*[\"'`]([^\"'`]+)[\"'`]\s*\)", text):
         yield _import(m[1], m[1], None, "dynamic", line_of(text, m.start()), m[1].startswith(("./", "../")))
 
 

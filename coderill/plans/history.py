@@ -10,9 +10,11 @@ from coderill.functions import scalars
 from coderill.operators import activity, temporal
 from coderill.plans.registry import SHARED, query
 
+
 def now() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
+
 SHARED |= {
     "vw_dated": "select c.*, k.author_email as email, k.ts from lg_live c join lg_commits k on k.id = c.commit_id",
     "vw_churn": "select f as file_path, count(distinct commit_id) as total_commits, sum(plus)::bigint as total_lines_added, sum(minus)::bigint as total_lines_deleted, sum(plus + minus)::bigint as total_churn,"

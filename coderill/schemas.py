@@ -46,7 +46,7 @@ SCHEMAS: dict[str, T.StructType] = {
 #: What must hold of each row; null passes, as it does in a CHECK.
 RULES: dict[str, list[str]] = {
     "commits": ["length(hash) = 40"],
-    "file_changes": ["change_type in ('A', 'M', 'D', 'R', 'C')", "lines_added >= 0", "lines_deleted >= 0"],
+    "file_changes": ["change_type in ('C', 'R', 'D', 'M', 'A')", "lines_added >= 0", "lines_deleted >= 0"],
     "temporal_coupling": ["file_a < file_b", "jaccard_similarity between 0 and 1"],
     "functions": ["cyclomatic_complexity >= 1"],
     "dependency_conflicts": ["conflict_type in ('version_mismatch', 'major_version_diff', 'incompatible')"],

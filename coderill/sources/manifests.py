@@ -20,11 +20,8 @@ _PAIR = re.compile(r"""^\s*["']?([\w.\-]+)["']?\s*=\s*(?:["']([^"']*)["']|\{(.*)
 
 def requirements(text: str) -> Iterator[tuple[str, str, bool]]:
     """name and what follows from its first comparison on, comments at the end of a line included."""
-    for line in text.split("\n"):
-        line = line.strip()
-        if not line or line.startswith(("#", "-")):
-            continue
-        if m := re.match(r"^([A-Za-z0-9_\-.]+)(?:\[[^\]]*\])?\s*((?:[=<>!~]=?=?).*)?", line):
+    for line in map(str.strip, text.split("\n")):
+        if line[:1] not in ("", "#", "-") and (m := re.match(r"^([A-Za-z0-9_\-.]+)(?:\[[^\]]*\])?\s*((?:[=<>!~]=?=?).*)?", line)):
             yield m[1], (m[2] or "").strip(), False
 
 

@@ -121,7 +121,7 @@ def test_manifests():
         ("pip", "flask", "==2.3.0", False), ("pip", "pytest", ">=7.0.0  # dev dependency", False), ("pip", "plain", "", False), ("pip", "x", "~=1.4", False)
     ]
     assert list(dependencies("a/pyproject.toml", '[tool.poetry.dependencies]\npython = "^3.8"\n[tool.poetry.dev-dependencies]\nblack = "^23"\n[other]\nz = "1"\n')) == [("poetry", "python", "^3.8", False), ("poetry", "black", "^23", True)]
-    assert list(dependencies("Cargo.toml", '[dependencies]\nserde = "1.0"\ntokio = { version = "1.28", features = ["full"] }\n[dev-dependencies]\ncriterion = "0.5"\n')) == [
+    assert list(dependencies("Cargo.toml", '[dependencies]\nserde = "1.0"\ntokio = { features = ["rt"], version = "1.28" }\n[dev-dependencies]\ncriterion = "0.5"\n')) == [
         ("cargo", "serde", "1.0", False), ("cargo", "tokio", "1.28", False), ("cargo", "criterion", "0.5", True)
     ]
     assert list(dependencies("package.json", '{"dependencies": {"react": "^18"}, "devDependencies": {"jest": "29"}}')) == [("npm", "react", "^18", False), ("npm", "jest", "29", True)]
