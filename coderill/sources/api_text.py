@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 #: Java expressions; each group is one that a rule reads.
 FLASK = r"""@(?:bp|blueprint|app)\.route\(\s*["']([^"']+)["'](?:[^)\n]*?methods *= *\[([^\]]*)\])?"""
-FASTAPI = r"""@app\.(get|post|put|delete|patch)\(\s*["']([^"']+)["']\s*\)"""
+FASTAPI = r"""@app\.(get|put|post|patch|delete)\(\s*["']([^"']+)["']\s*\)"""
 FETCH = r"""\bfetch\(\s*["']([^"']+)["']\s*(?:,\s*\{[^}]*?method\s*:\s*['"](\w+)['"])?"""
-AXIOS = r"""\baxios\.(get|post|put|delete|patch)\(\s*["']([^"']+)["']"""
+AXIOS = r"""\baxios\.(get|put|post|patch|delete)\(\s*["']([^"']+)["']"""
 
 
 def _all(text: F.Column, pattern: str) -> tuple[F.Column, F.Column, F.Column]:

@@ -126,7 +126,7 @@ def test_manifests():
     ]
     assert list(dependencies("package.json", '{"dependencies": {"react": "^18"}, "devDependencies": {"jest": "29"}}')) == [("npm", "react", "^18", False), ("npm", "jest", "29", True)]
     assert list(dependencies("package.json", "{")) == []
-    pom = '<project xmlns="http://maven.apache.org/POM/4.0.0"><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version><scope>test</scope></dependency></dependencies></project>'
+    pom = '<project xmlns="urn:pom"><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version><scope>test</scope></dependency></dependencies></project>'
     assert list(dependencies("pom.xml", pom)) == [("maven", "g:a", "1", True)]
     assert list(dependencies("go.mod", "module m\nrequire one v1.0\nrequire (\n two v2.1 // indirect\n)\nreplace x v1\n")) == [("go", "one", "v1.0", False), ("go", "two", "v2.1", False)]
     assert list(dependencies("Pipfile", '[packages]\nrequests = "*"\n[dev-packages]\npytest = "*"\n')) == [("pipenv", "requests", "*", False), ("pipenv", "pytest", "*", True)]
