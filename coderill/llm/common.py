@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 #: A side of a join is broadcast only up to so many bytes; beyond, the join shuffles.
 BROADCAST_BYTES = 16 << 20
 #: Texts are handed to the numpy kernels in slices of about so many bytes, whole texts only.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def workers_see_package(spark: SparkSession) -> None:
