@@ -7,14 +7,18 @@ probability that falls with their edit distance, also where the same k-mers stan
 
 Equal word sequences are one node. Of the nodes under one key, the least is the hub, and each other one is a candidate for
 it; as nodes are hashes, it is mostly the same hub for the same group of copies, so a group of n yields about n candidates
-and not n squared. Candidates are aligned word by word in a band of (1 - SIMILARITY) times the longer length, which is exact
-for all pairs that reach SIMILARITY; what is connected already and what a count of shared words rules out is not aligned. Connected components of
-the verified pairs are the groups, and the row of least doc_id stays in each.
+and not n squared. Keys whose nodes are not all connected by that go on in rounds: a hub that has met all others leaves its
+key, and the nodes with most near ones so far are the next hubs, twice as many in each round, until the nodes left under
+each key are connected. So any two nodes that share a key are compared or connected in the end. Candidates are aligned
+word by word in a band of (1 - SIMILARITY) times the longer length, which is exact for all pairs that reach SIMILARITY;
+what is connected already and what lengths or a count of shared words rule out is not aligned. Connected components of the
+verified pairs are the groups, and the row of least doc_id stays in each.
 
 Short texts (SHORT words or less) have keys of single words too, since few of their k-mers survive a change.
 
-Work grows with the input: a key is looked at by one sort, and each (key, node) gives one candidate at most. Nothing is
-collected. Sides of joins are broadcast only when their counted size allows it.
+Work grows with the input where the nodes of a key are near each other or near a common one: each (key, node) gives one
+candidate a round. Under a key of n nodes of like length that are all far from each other, the n squared pairs are compared.
+Nothing is collected. Sides of joins are broadcast only when their counted size allows it.
 
 Defined cases: a null text is no duplicate of anything; texts without words are duplicates only if they are equal strings;
 rows of one text are duplicates of each other whatever their ids, and exactly one of them stays, of repeated rows too; null
@@ -248,21 +252,22 @@ def _keys(words: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> pa.ListArray
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-def candidates(signatures: DataFrame) -> DataFrame:
-    """Distinct (hub, node) that share a key."""
-    once = signatures.groupBy("node").agg(F.any_value("keys").alias("keys"))
+def holders(signatures: DataFrame) -> DataFrame:
+    """(key, node, n_words, hub) of all keys that several nodes share; the hub is the least of them."""
+    once = signatures.groupBy("node").agg(F.any_value("keys").alias("keys"), F.any_value("n_words").alias("n_words"))
     hub = F.expr("min(node) over (partition by key)")
-    return once.select("node", F.explode("keys").alias("key")).select("node", hub.alias("hub")).where("hub <> node").distinct()
+    last = F.expr("max(node) over (partition by key)")
+    return once.select("node", "n_words", F.explode("keys").alias("key")).select("key", "node", "n_words", hub.alias("hub"), last.alias("last")).where("hub <> last").drop("last")
 
 
-def verified(pairs: DataFrame, df: DataFrame, least: float, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """(hub, node, similarity) of the candidates that an alignment bears out.
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
 
-    Words are read off the texts again, for the nodes that are in some pair, once for each node. They move to their hub, which
-    comes first; a task holds one hub and one other node. Hubs of many candidates are sent to several tasks.
-    """
+
+def words_of(wanted: DataFrame, df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(node, words) of the nodes in ``wanted``, read off the texts again, once for each node."""
     spark = df.sparkSession
-    wanted = materialise(pairs.select(F.explode(F.array("hub", "node")).alias("node")).distinct(), "wanted")
+    wanted = materialise(wanted, "wanted")
     n = wanted.count()
     few = n * 8 <= limit
     chosen = spark.sparkContext.broadcast(np.sort(wanted.toArrow().column("node").to_numpy()) if few else None)
@@ -287,7 +292,15 @@ def verified(pairs: DataFrame, df: DataFrame, least: float, limit: int = BROADCA
     words = df.select("text").where("text is not null").mapInArrow(run, "node bigint, words binary")
     if not few:
         words = words.join(wanted, "node", "left_semi")
-    words = words.groupBy("node").agg(F.any_value("words").alias("words"))
+    return words.groupBy("node").agg(F.any_value("words").alias("words"))
+
+
+def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """(hub, node, similarity) of the candidates that an alignment bears out.
+
+    Words move to their hub, which comes first; a task holds one hub and one other node. Hubs of many candidates are sent to
+    several tasks.
+    """
     parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("parts"))
     members = pairs.join(parts, "hub").select("node", "hub", F.pmod("node", "parts").cast("int").alias("part"))
     hubs = parts.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -312,21 +325,72 @@ def verified(pairs: DataFrame, df: DataFrame, least: float, limit: int = BROADCA
     return met.select("node", "hub", "words").mapInArrow(align, "hub bigint, node bigint, similarity double")
 
 
-def connected(pairs: DataFrame, df: DataFrame, least: float) -> DataFrame:
-    """(node, component) over all candidates that an alignment bears out.
+def connected(shared: DataFrame, df: DataFrame, least: float) -> DataFrame:
+    """(node, component) over all pairs of nodes that share a key and that an alignment bears out.
 
     First every node meets the least of its hubs. What that has connected already needs no further proof, so of the other
-    candidates only those between different components are aligned; the components come out as if all had been.
+    candidates only those between different components are aligned, and then those of the keys that are still open; the
+    components come out as if all pairs under all keys had been.
     """
+    pairs = materialise(shared.where("hub <> node").select("hub", "node").distinct(), "candidates")
     first = pairs.groupBy("node").agg(F.min("hub").alias("hub")).select("hub", "node")
-    edges = materialise(verified(first, df, least), "verified")
+    edges = materialise(verified(first, words_of(ends(first), df), least), "verified")
     found = components(edges)
-    rest = pairs.join(first, ["hub", "node"], "left_anti")
-    ends = found.select(F.col("node").alias("hub"), F.col("component").alias("a")), found.select("node", F.col("component").alias("b"))
-    rest = rest.join(ends[0], "hub", "left").join(ends[1], "node", "left").where("not (coalesce(a, hub) <=> coalesce(b, node))").select("hub", "node")
-    rest = materialise(rest, "rest")
-    more = materialise(verified(rest, df, least), "verified")
-    return components(edges.unionByName(more)) if not more.isEmpty() else found
+    rest = materialise(_apart(pairs.join(first, ["hub", "node"], "left_anti"), found).select("hub", "node"), "rest")
+    if not rest.isEmpty():
+        more = materialise(verified(rest, words_of(ends(rest), df), least), "verified")
+        found, edges = merged(found, more), edges.unionByName(more)
+    return _close(shared.where("hub <> node").select("key", "node", "n_words"), pairs, edges, found, df, least)
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The ``pairs`` between different components, with these as a and b; a node that is not in ``found`` is its own."""
+    a, b = found.select(F.col("node").alias("hub"), F.col("component").alias("a")), found.select("node", F.col("component").alias("b"))
+    met = pairs.join(a, "hub", "left").join(b, "node", "left")
+    return met.select("hub", "node", F.coalesce("a", "hub").alias("a"), F.coalesce("b", "node").alias("b")).where("a <> b")
+
+
+def _close(left: DataFrame, met: DataFrame, edges: DataFrame, found: DataFrame, df: DataFrame, least: float) -> DataFrame:
+    """``found`` after the nodes ``left`` under each key (key, node, n_words) have been compared until none is open.
+
+    Pairs in ``met`` are compared already. A key is open while it holds several components. In each round its nodes with most
+    ``edges`` are hubs and meet all others of the key, also those in components of former hubs; then they leave it, and the
+    number of hubs is doubled. So rounds go with the logarithm of a key's nodes.
+    """
+    hubs, words = 1, None
+    tried = met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    while True:
+        degree = edges.select(F.explode(F.array("hub", "node")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        now = left.join(found, "node", "left").select("key", "node", "n_words", F.coalesce("component", "node").alias("component"))
+        kinds = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        place = F.expr("row_number() over (partition by key order by coalesce(degree, 0) desc, node)")
+        left = materialise(now.join(kinds, "key", "left_semi").join(degree, "node", "left").select("key", "node", "n_words", "component", place.alias("place")), "open")
+        if left.isEmpty():
+            return found
+        if words is None:  # later rounds have fewer nodes
+            words = materialise(words_of(left.select("node").distinct(), df), "words")
+        chosen = left.where(F.col("place") <= hubs).select("key", F.col("node").alias("hub"), F.col("n_words").alias("m"), F.col("component").alias("c"))
+        longer = F.greatest("m", "n_words")
+        near = F.abs(F.col("m") - F.col("n_words")) <= F.floor((1 - least) * longer + 1e-9)
+        pairs = chosen.join(left, "key").where(F.col("c") != F.col("component")).where(near).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), "hub")
+        # of two hubs one is the pair's
+        pairs = pairs.groupBy("a", "b").agg(F.min("hub").alias("hub")).join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node")), "candidates")
+        if not pairs.isEmpty():
+            more = materialise(verified(pairs, words, least), "verified")
+            found, edges = merged(found, more), edges.unionByName(more)
+            tried = tried.unionByName(pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")))
+        left = left.where(F.col("place") > hubs).select("key", "node", "n_words")
+        hubs *= 2
+
+
+def merged(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``found`` with the components of all ``edges`` put together."""
+    if edges.isEmpty():
+        return found
+    alone = ends(edges).join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+    moved = components(_apart(edges, found).select(F.col("a").alias("hub"), F.col("b").alias("node"))).select(F.col("node").alias("component"), F.col("component").alias("moved"))
+    return materialise(found.unionByName(alone).join(moved, "component", "left").select("node", F.coalesce("moved", "component").alias("component")), "labels")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -355,9 +419,9 @@ def groups(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     workers_see_package(df.sparkSession)
     signatures = materialise(_signatures(df), "signatures")
-    pairs = materialise(candidates(signatures), "candidates")
+    shared = materialise(holders(signatures), "holders")
     rows = signatures.select("doc_id", "node")
-    found = rows.join(connected(pairs, df, least), "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    found = rows.join(connected(shared, df, least), "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node"))
     summed = found.groupBy("component").agg(first.alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return found.join(summed, "component").select("doc_id", "node", "component", F.col("kept.doc_id").alias("kept_id"), F.col("kept.node").alias("kept_node"), "n")
