@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, string_array, text_slices, with_columns, workers_see_package
+from .common import free_name, in_arrow, string_array, text_slices, with_columns, workers_see_package
 from .tokens import _RANDOM, _power_tables, mix, utf8
 
 VOCABULARY_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -442,7 +442,7 @@ def with_tokens(df: DataFrame, path: str = VOCABULARY_PATH, text_col: str = "tex
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), lists, counts, right], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def decode(df: DataFrame, path: str = VOCABULARY_PATH, tokens_col: str = "token_ids", text_col: str = "text") -> DataFrame:
@@ -467,4 +467,4 @@ def decode(df: DataFrame, path: str = VOCABULARY_PATH, tokens_col: str = "token_
 
     import pyarrow.compute  # noqa: F401  (pa.compute in the workers)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)

@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -30,25 +32,76 @@ def workers_see_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; where unset (tests), a local one."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Only a session whose tasks run in this very process's machine, as in tests, gets a temporary one where it is unset.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="coderill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def application_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/coderill/{spark.sparkContext.applicationId}"
+    if path not in _ends_with_driver:
+        _ends_with_driver.add(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+_ends_with_driver: set[str] = set()
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes inside, but for the ``lasting`` ones, are deleted at the end."""
+    made: list[str] = []
+    before = _scratch.set(made)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        for path in made:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialise(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts the lineage and survives the loss of executors; the sizes of what follows are then known to the planner.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/coderill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made = _scratch.get()
+    if made is not None and not lasting:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any name; ``run`` takes them by position."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
+
+
+def column(name: str):
+    """The column of exactly this name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(names: list[str]) -> list:
+    return [column(x) for x in names]
+
+
 def checked_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if ``rows`` of ``row_bytes`` stay under ``limit``, else as it is."""
     return F.broadcast(df) if rows * row_bytes <= limit else df

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, checked_broadcast, free_name, materialise, string_array, text_slices, workers_see_package
+from .common import BROADCAST_BYTES, checked_broadcast, free_name, in_arrow, materialise, string_array, text_slices, workers_see_package
 from .tokens import ngram_hashes, word_hashes
 
 MIN_TILE = 5
@@ -214,4 +214,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
                 clean[k] = False
             yield pa.RecordBatch.from_arrays(b.filter(pa.array(clean)).columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, free_name, string_array, text_slices, with_columns, workers_see_package
-from .tokens import WORD_BYTE, hash_words, run_hashes, runs, utf8
+from .common import SLICE_BYTES, free_name, in_arrow, string_array, text_slices, with_columns, workers_see_package
+from .tokens import hash_words, run_hashes, runs, utf8, word_runs
 
 RULES = ("symbols", "shouting", "adjacent_repeats", "vocabulary", "cells", "word_length", "sentences", "stop_words", "repeated_lines", "symbol_runs")
 #: Function words of the languages at hand.
@@ -66,7 +66,7 @@ def votes_of(texts: pa.Array) -> np.ndarray:
         np.cumsum(flags, out=sums[1:])
         return sums[offsets[1:]] - sums[offsets[:-1]]
 
-    # capital letters of two bytes (C3 80..9E, and Greek or Cyrillic CE, D0) count once, as do their bytes in lower case
+    # letters are counted by their first bytes; of the capitals of two bytes only those of Latin-1 (C3 80..9E) count as shouting
     size = per_text(~_SPACE[data])
     letters = per_text(_LETTER[data] & (data & 0xC0 != 0x80))
     upper_flags = _UPPER[data]
@@ -83,7 +83,7 @@ def votes_of(texts: pa.Array) -> np.ndarray:
     sign_runs = per_text(run_start)
     stops = per_text((data == ord(".")) | (data == ord("!")) | (data == ord("?")))
     low = _LOWER[data]
-    starts, ends = runs(WORD_BYTE[data], offsets)
+    starts, ends = word_runs(data, offsets)
     h = run_hashes(low, starts, ends)
     at = np.searchsorted(starts, offsets)
     words = np.diff(at)
@@ -222,10 +222,10 @@ def histogram(df: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.nda
 
 
 def score(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, one vote per rule, n_against, quality (posterior of good) and keep."""
+    """doc_id as it is, one vote per rule, quality (posterior of good) and keep."""
     workers_see_package(df.sparkSession)
     model = fit(*histogram(df, text_col))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(f"vote_{r}", T.ByteType()) for r in RULES)])
+    schema = T.StructType([T.StructField("doc_id", df.schema["doc_id"].dataType), *(T.StructField(f"vote_{r}", T.ByteType()) for r in RULES)])
     schema = with_columns(schema, quality=T.DoubleType(), keep=T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,7 @@ def score(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -
             votes = unpack(np.maximum(p, 0))
             votes[:, p < 0] = 0
             q = np.where(p < 0, 0.0, model.posterior(votes))
-            columns = [b.column(0).cast(pa.int64()), *(pa.array(v, pa.int8()) for v in votes), pa.array(q), pa.array(q >= threshold)]
+            columns = [b.column(0), *(pa.array(v, pa.int8()) for v in votes), pa.array(q), pa.array(q >= threshold)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.select("doc_id", F.col(f"`{text_col}`")).mapInArrow(run, schema)
@@ -254,7 +254,7 @@ def keep_good(df: DataFrame, text_col: str = "text", threshold: float = THRESHOL
             kept = b.filter(pa.array(q >= threshold))
             yield pa.RecordBatch.from_arrays(kept.columns, names=names)
 
-    return df.mapInArrow(run, df.schema)
+    return in_arrow(df, run, df.schema)
 
 
 __all__ = ["RULES", "Model", "fit", "free_name", "histogram", "keep_good", "score"]
