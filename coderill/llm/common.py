@@ -88,6 +88,13 @@ def materialise(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files(uri: str):
+    """File system and path of a folder or file; local ones may be given as plain paths."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else os.path.abspath(uri))
+
+
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)`` for columns of any name; ``run`` takes them by position."""
     return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)

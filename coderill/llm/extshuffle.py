@@ -1,39 +1,47 @@
 """Two-pass external shuffle.
 
-Pass 1 scatters the records uniformly into buckets that fit in memory, by a seeded hash; pass 2 shuffles each
-bucket by Fisher-Yates. Bucket after bucket, the result is one uniform permutation of the input, and it is the
-same for the same rows and seed: every bucket is first put into a canonical order, so that neither the order
-in which blocks arrive nor a repeated task changes it.
-
-Defined cases: null ids and null texts are ordinary values and hash as such. Exactly equal rows go to one
-bucket, all of them are kept, and their order among themselves is not observable. An empty table gives an
-empty result. Texts of any length stay whole. Columns of any other name pass through; where ``shard`` or
-``position`` exist already, the new ones get underscores in front.
+Pass 1 scatters the records uniformly into buckets that fit in memory, by a seeded hash of the record, its input partition and
+its number among the equal records there, so copies of one record part like any others; pass 2 puts each bucket into a
+canonical order and shuffles it by Fisher-Yates. Bucket after bucket, the result is one uniform permutation of the input. It
+is the same for the same input partitions and seed: neither the order in which blocks arrive nor a repeated task changes it,
+since the numbers of equal records are a set whatever order they come in.
+
+Buckets take BUCKET_BYTES, or more where tasks have more memory. Beyond MOST_BUCKETS, records are first scattered into groups
+of buckets, written to the shared folder, and each group is scattered on its own; so no shuffle has more than MOST_BUCKETS
+outputs.
+
+Defined cases: null ids and null texts are ordinary values and hash as such. Exactly equal rows are all kept; which of them
+stands where is not observable. An empty table gives an empty result. Texts of any length stay whole. Columns of any other
+name pass through; where ``shard`` or ``position`` exist already, the new ones get underscores in front.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, partitions_for, with_columns, workers_see_package
+from .common import column, columns, free_name, in_arrow, materialise, with_columns, workers_see_package
 
-#: Bytes of text in a bucket; a task holds one bucket, and about twice as much while it permutes.
-BUCKET_BYTES = 32 << 20
+#: Bytes of a bucket, at least and at most; a task holds one bucket, and about twice as much while it permutes.
+BUCKET_BYTES, MOST_BUCKET_BYTES = 32 << 20, 1 << 30
+#: Buckets of one shuffle.
+MOST_BUCKETS = 10_000
+_UNITS = {"": 1 << 20, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
 
 
-def fisher_yates(n: int, rng: random.Random) -> list[int]:
+def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     """A uniform permutation of 0..n-1."""
     order = list(range(n))
-    for i in range(n - 1, 0, -1):
-        j = rng.randrange(i + 1)
+    for i, j in zip(range(n - 1, 0, -1), rng.integers(np.arange(n, 1, -1)).tolist() if n > 1 else (), strict=True):
         order[i], order[j] = order[j], order[i]
-    return order
+    return np.array(order, np.int64)
 
 
 def payload_bytes(df: DataFrame) -> int:
@@ -41,26 +49,70 @@ def payload_bytes(df: DataFrame) -> int:
     size = F.lit(0)
     for f in df.schema.fields:
         text = isinstance(f.dataType, (T.StringType, T.BinaryType))
-        size = size + (F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if text else F.lit(8))
+        size = size + (F.coalesce(F.octet_length(column(f.name)), F.lit(0)) if text else F.lit(8))
     return df.agg(F.sum(size.cast("long"))).first()[0] or 0
 
 
+def memory_of_task(spark: SparkSession) -> int:
+    """Bytes of an executor's heap for each of its cores."""
+    said = spark.conf.get("spark.executor.memory", "1g").lower().removesuffix("b")
+    number = said.rstrip("kmgt")
+    return int(number) * _UNITS[said[len(number) :]] // max(1, int(spark.conf.get("spark.executor.cores", "1")))
+
+
+def plan(total_bytes: int, task_bytes: int, bucket_bytes: int | None = None, most: int = MOST_BUCKETS) -> tuple[int, int]:
+    """(groups, buckets of each) for so many bytes, when a task has so much memory."""
+    each = bucket_bytes or min(MOST_BUCKET_BYTES, max(BUCKET_BYTES, task_bytes // 32))
+    n = max(1, -(-total_bytes // each))
+    groups = -(-n // most)
+    return groups, -(-n // groups)
+
+
 def row_hash(df: DataFrame, seed: int):
     """Seeded 64-bit hash of all columns that can be hashed."""
-    able = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    able = [column(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     return F.xxhash64(F.lit(seed), *able)
 
 
-def external_shuffle(df: DataFrame, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def numbered(df: DataFrame, h: str, number: str) -> DataFrame:
+    """``df`` with how many rows of its partition with the same ``h`` came before each."""
+    at = df.columns.index(h)
+    schema = with_columns(df.schema, **{number: T.LongType()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for b in batches:
+            kinds, back, many = np.unique(b.column(at).to_numpy(), return_inverse=True, return_counts=True)
+            names = kinds.tolist()
+            before = np.array([seen.get(k, 0) for k in names], np.int64)
+            for k, n, m in zip(names, before.tolist(), many.tolist(), strict=True):
+                seen[k] = n + m
+            order = np.argsort(back, kind="stable")
+            rank = np.empty(len(back), np.int64)
+            rank[order] = np.arange(len(back)) - np.repeat(np.cumsum(many) - many, many)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before[back] + rank)], names=schema.names)
+
+    return in_arrow(df, run, schema)
+
+
+def external_shuffle(df: DataFrame, seed: int = 17, bucket_bytes: int | None = None, most: int = MOST_BUCKETS) -> DataFrame:
     """The columns of ``df`` with ``shard`` (the bucket) and ``position`` in it, from 0."""
-    workers_see_package(df.sparkSession)
-    shard, position = (free_name(df.columns, x) for x in ("shard", "position"))
-    h = free_name(df.columns, "row_hash")
-    n = partitions_for(df.sparkSession, payload_bytes(df), bucket_bytes)
+    spark, names = df.sparkSession, df.columns
+    workers_see_package(spark)
+    shard, position, h, number = (free_name(names, x) for x in ("shard", "position", "row_hash", "row_number"))
+    groups, each = plan(payload_bytes(df), memory_of_task(spark), bucket_bytes, most)
+    keyed = numbered(df.withColumn(h, row_hash(df, seed)), h, number)
+    keyed = keyed.withColumn(h, F.xxhash64(F.lit(seed), column(h), F.spark_partition_id(), column(number))).drop(column(number))
     schema = with_columns(df.schema, **{shard: T.IntegerType(), position: T.LongType()})
-    # the bucket takes other bits than the order within it
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(h)), F.lit(n)).cast("int")
-    scattered = df.withColumn(h, row_hash(df, seed)).withColumn(shard, bucket).repartitionById(n, F.col(shard))
+    # group, bucket and order within it take bits of their own
+    part = lambda salt, n: F.pmod(F.xxhash64(F.lit(seed ^ salt), column(h)), F.lit(n)).cast("int")
+    if groups > 1:
+        group = free_name(names, "bucket_group")
+        keyed = keyed.withColumn(group, part(0x5EED, groups)).repartition(min(most, groups * each), column(group), part(0xA17, each))
+        keyed = materialise(keyed, "scattered", lasting=True)
+        pieces = [(k, keyed.where(column(group) == k).drop(column(group))) for k in range(groups)]
+    else:
+        pieces = [(0, keyed)]
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -68,20 +120,21 @@ def external_shuffle(df: DataFrame, seed: int = 17, bucket_bytes: int = BUCKET_B
             return
         table = pa.Table.from_batches(held)
         del held
-        order = table.column(h).combine_chunks()
-        first = pa.compute.sort_indices(order)
-        at = table.column(shard)[0].as_py()
-        perm = first.take(pa.array(fisher_yates(len(first), random.Random((seed << 32) ^ at)), pa.int64()))
-        table = table.drop_columns([h])
+        # the hash comes last, the bucket before it
+        first = pc.sort_indices(table.column(table.num_columns - 1).combine_chunks())
+        at = table.column(table.num_columns - 2)[0].as_py()
+        perm = first.take(pa.array(fisher_yates(len(first), np.random.Generator(np.random.PCG64([seed & 0xFFFFFFFF, at])))))
+        table = table.select(range(table.num_columns - 1))
         for lo in range(0, len(perm), 2048):
-            part = table.take(perm.slice(lo, 2048)).combine_chunks()
-            for b in part.to_batches():
-                columns = [*b.columns, pa.array(range(lo, lo + b.num_rows), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, position])
+            for b in table.take(perm.slice(lo, 2048)).combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(range(lo, lo + b.num_rows), pa.int64())], names=schema.names)
 
-    import pyarrow.compute  # noqa: F401  (pa.compute in the workers)
+    def shuffled(k: int, rows: DataFrame) -> DataFrame:
+        # each task holds one bucket
+        own = rows.withColumn(shard, part(0xB0B, each)).repartitionById(each, column(shard))
+        return in_arrow(own.select(*columns(names), (column(shard) + F.lit(k * each)).alias(shard), h), permute, schema)
 
-    return scattered.select(*(F.col(f"`{c}`") for c in df.columns), shard, h).mapInArrow(permute, schema)
+    return reduce(DataFrame.unionAll, (shuffled(k, rows) for k, rows in pieces))
 
 
 def write_shards(shuffled: DataFrame, path: str, shard: str = "shard") -> None:

@@ -2,8 +2,9 @@
 
 A shard is a file of data blocks, each with prefix-compressed keys and restart points and deflated as a whole;
 then a sparse index (the last key of each block with its offset and length), a Bloom filter over the keys, and
-a footer of fixed length. A lookup reads the footer, asks the filter, finds the block by binary search in the
-index and the key by binary search over the block's restart points.
+a footer of fixed length. A reader takes the footer, index and filter off the end of the file; a lookup asks the filter,
+finds the block by binary search in the index, reads that block alone and finds the key by binary search over its restart
+points.
 
 Keys: a long is written as ``n`` or ``p`` and 19 digits, so that bytes sort as numbers do; a string as its
 UTF-8 bytes. Defined cases: a null identifier has the empty key, which sorts first; a null text is a value of
@@ -14,6 +15,7 @@ Further columns are not stored.
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from bisect import bisect_left
@@ -24,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import workers_see_package
+from .common import column, files, partitions_for, workers_see_package
+from .extshuffle import payload_bytes
 
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 64 << 20
@@ -152,25 +155,35 @@ def encode_index(blocks: list[tuple[bytes, int, int]]) -> bytes:
 
 
 class SSTable:
-    """Reader of one shard, given its bytes."""
+    """Reader of one shard, given its bytes or an open file; of a file, only what a call needs is read."""
 
-    def __init__(self, raw: bytes):
-        self.raw = raw
-        at, size, bloom_at, bloom_size, self.n_entries, self.data_bytes, crc, magic = FOOTER.unpack(raw[-FOOTER.size :])
-        tail = raw[at : at + size] + raw[bloom_at : bloom_at + bloom_size]
+    def __init__(self, source):
+        self.file = io.BytesIO(source) if isinstance(source, (bytes, bytearray)) else source
+        end = self.file.seek(0, 2)
+        at, size, bloom_at, bloom_size, self.n_entries, self.data_bytes, crc, magic = FOOTER.unpack(self._read(max(0, end - FOOTER.size), FOOTER.size)) if end >= FOOTER.size else [0] * 7 + [b""]
+        tail = self._read(at, size + bloom_size) if magic == MAGIC and at + size == bloom_at else b""
         if magic != MAGIC or zlib.crc32(tail) != crc:
             raise ValueError("not a shard, or damaged")
-        self.bits = struct.unpack_from("<Q", raw, bloom_at)[0]
-        self.bloom = raw[bloom_at + 8 : bloom_at + bloom_size]
-        self.index, p = [], at
-        n, p = read_varint(raw, p)
+        self.bits = struct.unpack_from("<Q", tail, size)[0]
+        self.bloom = tail[size + 8 :]
+        self.index = []
+        n, p = read_varint(tail, 0)
         for _ in range(n):
-            length, p = read_varint(raw, p)
-            key, p = raw[p : p + length], p + length
-            where, p = read_varint(raw, p)
-            length, p = read_varint(raw, p)
+            length, p = read_varint(tail, p)
+            key, p = tail[p : p + length], p + length
+            where, p = read_varint(tail, p)
+            length, p = read_varint(tail, p)
             self.index.append((key, where, length))
 
+    @classmethod
+    def open(cls, uri: str) -> SSTable:
+        system, path = files(uri)
+        return cls(system.open_input_file(path))
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
     def may_have(self, key: bytes) -> bool:
         return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in bloom_probes(key, self.bits))
 
@@ -180,7 +193,7 @@ class SSTable:
             return []
         found: list[str | None] = []
         for _, at, size in self.index[bisect_left(self.index, key, key=lambda x: x[0]) :]:
-            block = Block(self.raw[at : at + size])
+            block = Block(self._read(at, size))
             got = block.get(key)
             found += [None if v is None else v.decode() for v in got]
             if not got or next(block.scan())[0] > key:
@@ -189,7 +202,7 @@ class SSTable:
 
     def scan(self) -> Iterator[tuple[bytes, str | None]]:
         for _, at, size in self.index:
-            for k, v in Block(self.raw[at : at + size]).scan():
+            for k, v in Block(self._read(at, size)).scan():
                 yield k, None if v is None else v.decode()
 
 
@@ -242,8 +255,11 @@ def to_shards(
     ``shard_id`` ascends with the keys.
     """
     workers_see_package(df.sparkSession)
-    keyed = df.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("v")).withColumn("h", F.xxhash64("v"))
-    ranged = keyed.repartitionByRange(F.col("k").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("k").asc_nulls_first(), "h")
+    keyed = df.select(column(id_col).alias("k"), column(text_col).alias("v"))
+    # as many tasks as shards will be, whatever the session's number of shuffle partitions
+    n = partitions_for(df.sparkSession, payload_bytes(keyed), shard_bytes)
+    keyed = keyed.withColumn("h", F.xxhash64("v"))
+    ranged = keyed.repartitionByRange(n, F.col("k").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("k").asc_nulls_first(), "h")
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
 
@@ -273,33 +289,33 @@ def to_shards(
 
 
 def write_files(shards: DataFrame, folder: str) -> DataFrame:
-    """Write each shard to ``folder/shard-<id>.sst`` and return (shard_id, path, n_bytes, first_key, last_key).
+    """Write each shard to ``folder/shard-<id>.sst``, a path or URI that all executors reach, and return (shard_id, path, n_bytes, first_key, last_key).
 
     A shard is put together under a name of its task attempt and then renamed, so a repeated task leaves one whole file.
     """
     workers_see_package(shards.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         from pyspark import TaskContext
 
-        os.makedirs(folder, exist_ok=True)
-        attempt, out, done = TaskContext.get().taskAttemptId(), None, []
+        system, base = files(folder)
+        system.create_dir(base, recursive=True)
+        attempt, out, size, done = TaskContext.get().taskAttemptId(), None, 0, []
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = {name: b.column(k)[i].as_py() for k, name in enumerate(("shard_id", "section", "first_key", "last_key", "payload"))}
                 if out is None:
-                    temp = f"{folder}/.shard-{r['shard_id']}-{attempt}"
-                    out = open(temp, "wb")  # noqa: SIM115
+                    temp, size = f"{base}/.shard-{r['shard_id']}-{attempt}", 0
+                    out = system.open_output_stream(temp)
                 out.write(r["payload"])
+                size += len(r["payload"])
                 if r["section"] == "footer":
-                    size = out.tell()
                     out.close()
-                    out, path = None, f"{folder}/shard-{r['shard_id']:016x}.sst"
-                    os.replace(temp, path)
-                    done.append((r["shard_id"], path, size, r["first_key"], r["last_key"]))
+                    out, name = None, f"shard-{r['shard_id']:016x}.sst"
+                    system.move(temp, f"{base}/{name}")
+                    done.append((r["shard_id"], f"{folder.rstrip('/')}/{name}", size, r["first_key"], r["last_key"]))
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["shard_id", "path", "n_bytes", "first_key", "last_key"])
 
-    sorted_ = shards.repartition("shard_id").sortWithinPartitions("shard_id", "seq")
+    sorted_ = shards.repartition("shard_id").sortWithinPartitions("shard_id", "seq").select("shard_id", "section", "first_key", "last_key", "payload")
     return sorted_.mapInArrow(write, "shard_id bigint, path string, n_bytes bigint, first_key string, last_key string")
