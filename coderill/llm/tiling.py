@@ -2,17 +2,20 @@
 
 Seeds, all runs of MIN_TILE tokens of the benchmark, are joined with those of the documents. On each pair of document and
 item that shares one, the longest match between tokens not yet marked is marked as a tile, again and again, until no match
-of MIN_TILE tokens is left (ties: first in the document, then in the item); matches are found by running Karp-Rabin hashes
-of MIN_TILE tokens, whose neighbours along a diagonal make up longer ones. The tiles' share of the item's tokens is its
-coverage; from COVERAGE on the document is contaminated. Since tiles may stand in any order, passages whose parts were
-reordered are caught.
+of MIN_TILE tokens is left (ties: first in the document, then in the item). Matches are found by running Karp-Rabin hashes
+and then compared token by token: hashes of MIN_TILE tokens, whose neighbours along a diagonal make up longer ones, or,
+where texts repeat themselves so much that there would be more than SEED_PAIRS of these, hashes of all runs of one length
+at a time, in memory that grows with the texts alone. The tiles' share of the item's tokens is its coverage; from COVERAGE
+on the document is contaminated. Since tiles may stand in any order, passages whose parts were reordered are caught.
+
+An item of fewer than MIN_TILE tokens is one seed as a whole: it is found where all of it stands in a row.
 
 The benchmark is sent to all executors only while its text stays under BROADCAST_BYTES; then documents are read once and
 not shuffled. A larger one is joined by seed with a shuffle; the outcome is the same.
 
-Tokens are words in lower case. Defined cases: null and empty texts share no seed; items of fewer than MIN_TILE tokens
-cannot be told from chance and are not tested; repeated items (same id and text) count once, repeated documents each get
-their rows; null ids pass through; an empty table on either side gives an empty result; further columns are not read.
+Tokens are words in lower case. Defined cases: null and empty texts share no seed; items without words are not found
+anywhere; repeated items (same id and text) count once, repeated documents each get their rows; null ids pass through; an
+empty table on either side gives an empty result; further columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -25,24 +28,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, checked_broadcast, free_name, in_arrow, materialise, string_array, text_slices, workers_see_package
-from .tokens import ngram_hashes, word_hashes
+from .common import BROADCAST_BYTES, checked_broadcast, columns, free_name, in_arrow, materialise, string_array, text_slices, workers_see_package
+from .tokens import _BASE, mix, ngram_hashes, word_hashes
 
 MIN_TILE = 5
 COVERAGE = 0.5
+#: Pairs of equal seeds of one document and one item that are laid out side by side.
+SEED_PAIRS = 1 << 18
 SCHEMA = "item_id bigint, n_tiles int, n_covered int, n_item_tokens int, coverage double, longest_tile int"
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, min_tile: int = MIN_TILE) -> list[tuple[int, int, int]]:
+def tiles(doc: np.ndarray, item: np.ndarray, min_tile: int = MIN_TILE, seed_pairs: int = SEED_PAIRS) -> list[tuple[int, int, int]]:
     """(from in doc, from in item, length) of each tile, in the order of marking."""
     a, b = ngram_hashes(doc, min_tile), ngram_hashes(item, min_tile)
     order = np.argsort(b, kind="stable")
     lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
     at = np.flatnonzero(hi > lo)
     many = hi[at] - lo[at]
+    if many.sum() > seed_pairs:
+        return tiles_by_length(doc, item, min_tile)
     i = np.repeat(at, many)
     within = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
     j = order[np.repeat(lo[at], many) + within]
+    for k in range(min_tile):
+        same = doc[i + k] == item[j + k]
+        i, j = i[same], j[same]
     found = []
     while len(i):
         # neighbouring seeds on a diagonal are one match
@@ -61,15 +71,84 @@ def tiles(doc: np.ndarray, item: np.ndarray, min_tile: int = MIN_TILE) -> list[t
     return found
 
 
+def _powers(n: int) -> np.ndarray:
+    x = np.full(n + 1, _BASE, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
+
+
+class _Runs:
+    """Running hashes of all runs of unmarked tokens of one text."""
+
+    def __init__(self, tokens: np.ndarray, power: np.ndarray):
+        self.tokens, self.power, self.free = tokens, power, np.ones(len(tokens), bool)
+        # sums[i] is the polynomial over the first i tokens, highest power first
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens) * power[len(tokens) - 1 - np.arange(len(tokens))], dtype=np.uint64)])
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the unmarked runs of ``n`` tokens; hashes of two texts of other lengths are brought to one power."""
+        marked = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(marked[n:] == marked[: len(marked) - n])
+        return at, (self.sums[at + n] - self.sums[at]) * self.power[len(self.power) - 1 - (len(self.tokens) - 1 - at)]
+
+    def mark(self, at: int, n: int) -> None:
+        self.free[at : at + n] = False
+
+
+def tiles_by_length(doc: np.ndarray, item: np.ndarray, min_tile: int = MIN_TILE) -> list[tuple[int, int, int]]:
+    """As ``tiles``, with memory for the runs of one length at a time.
+
+    If some run of n tokens matches, so does one of n - 1; so the greatest length is found by bisection. All tiles of one length
+    are marked in one pass, as marking makes no longer one.
+    """
+    power = _powers(max(len(doc), len(item), 1))
+    a, b = _Runs(doc, power), _Runs(item, power)
+
+    def matches(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places and hashes of the runs in ``doc`` that ``item`` has too, and of those in ``item``, in the order of their hashes."""
+        (p, x), (q, y) = a.of(n), b.of(n)
+        order = np.argsort(y, kind="stable")
+        q, y = q[order], y[order]
+        hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
+        return p[hit], x[hit], q, y
+
+    found, longest = [], min(len(doc), len(item))
+    while longest >= min_tile:
+        lo, hi = min_tile - 1, longest
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if len(matches(mid)[0]) else (lo, mid - 1)
+        longest = lo
+        if longest < min_tile:
+            break
+        places, hashes, q, y = matches(longest)
+        until = 0
+        for p, x in zip(places.tolist(), hashes, strict=True):
+            # what is marked here is marked from the left
+            if p < until:
+                continue
+            for k in q[np.searchsorted(y, x, "left") : np.searchsorted(y, x, "right")].tolist():
+                if np.array_equal(doc[p : p + longest], item[k : k + longest]):
+                    found.append((p, k, longest))
+                    a.mark(p, longest)
+                    b.mark(k, longest)
+                    until = p + longest
+                    free = (q + longest <= k) | (q >= k + longest)
+                    q, y = q[free], y[free]
+                    break
+            if not len(q):
+                break
+        longest -= 1
+    return found
+
+
 @dataclass
 class Benchmark:
-    """Items with their tokens, and all seeds sorted by hash."""
+    """Items with their tokens, and for each length of seeds all of these, sorted by hash, with the items that have them."""
 
     ids: list[int | None]
     tokens: list[np.ndarray]
-    seeds: np.ndarray
-    owner: np.ndarray
-    place: np.ndarray
+    seeds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
     min_tile: int
 
     @classmethod
@@ -78,52 +157,58 @@ class Benchmark:
         kept, tokens, seen = [], [], set()
         for k, i in enumerate(ids):
             own = words[at[k] : at[k + 1]]
-            if len(own) >= min_tile and (i, own.tobytes()) not in seen:
+            if len(own) and (i, own.tobytes()) not in seen:
                 seen.add((i, own.tobytes()))
                 kept.append(i)
                 tokens.append(own.copy())
-        grams = [ngram_hashes(t, min_tile) for t in tokens]
-        seeds = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        owner = np.repeat(np.arange(len(tokens)), [len(g) for g in grams])
-        place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)]).astype(np.int64)
-        order = np.argsort(seeds, kind="stable")
-        return cls(kept, tokens, seeds[order], owner[order], place[order], min_tile)
+        seeds = []
+        for n in sorted({min(min_tile, len(t)) for t in tokens}):
+            owners = [k for k, t in enumerate(tokens) if min(min_tile, len(t)) == n]
+            grams = [ngram_hashes(tokens[k], n) for k in owners]
+            flat = np.concatenate(grams)
+            owner = np.repeat(owners, [len(g) for g in grams])
+            place = np.concatenate([np.arange(len(g)) for g in grams])
+            order = np.argsort(flat, kind="stable")
+            seeds.append((n, flat[order], owner[order], place[order]))
+        return cls(kept, tokens, seeds, min_tile)
 
     def compare(self, doc: np.ndarray, item: int) -> tuple | None:
-        found = tiles(doc, self.tokens[item], self.min_tile)
+        own = self.tokens[item]
+        found = tiles(doc, own, min(self.min_tile, len(own)))
         if not found:
             return None
-        n, covered = len(self.tokens[item]), sum(x[2] for x in found)
+        n, covered = len(own), sum(x[2] for x in found)
         return self.ids[item], len(found), covered, n, covered / n, max(x[2] for x in found)
 
     def scan(self, texts: pa.Array, coverage: float) -> Iterator[tuple[int, tuple]]:
         """(number of the text, row of SCHEMA) of all pairs that reach the coverage."""
-        if not len(self.seeds):
-            return
         for lo, hi in text_slices(texts):
             words, at = word_hashes(texts.slice(lo, hi - lo))
-            g = ngram_hashes(words, self.min_tile)
-            left = np.searchsorted(self.seeds, g)
-            hit = np.flatnonzero(self.seeds[np.minimum(left, len(self.seeds) - 1)] == g)
-            doc = np.searchsorted(at, hit, side="right") - 1
-            inside = hit + self.min_tile <= at[doc + 1]
-            hit, doc = hit[inside], doc[inside]
-            right = np.searchsorted(self.seeds, g[hit], side="right")
-            many = right - left[hit]
-            slot = np.repeat(left[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            triple = np.unique(np.stack([np.repeat(doc, many), self.owner[slot], self.place[slot]]), axis=1)
-            if not triple.shape[1]:
-                continue
-            edge = np.flatnonzero(np.append(True, (np.diff(triple[:2]) != 0).any(0)))
-            for s, e in zip(edge, [*edge[1:], triple.shape[1]], strict=True):
-                d, item = int(triple[0, s]), int(triple[1, s])
-                # what seeds cover bounds what tiles can cover
-                spot = triple[2, s:e]
-                bound = self.min_tile + np.minimum(np.diff(spot), self.min_tile).sum()
-                if bound >= coverage * len(self.tokens[item]):
-                    row = self.compare(words[at[d] : at[d + 1]], item)
-                    if row and row[4] >= coverage:
-                        yield lo + d, row
+            for n, seeds, owners, places in self.seeds:
+                g = ngram_hashes(words, n)
+                left = np.searchsorted(seeds, g)
+                hit = np.flatnonzero(seeds[np.minimum(left, len(seeds) - 1)] == g)
+                doc = np.searchsorted(at, hit, side="right") - 1
+                inside = hit + n <= at[doc + 1]
+                # a seed that a text repeats counts once
+                once = np.unique(doc[inside] * len(seeds) + left[hit[inside]])
+                doc, slot = once // len(seeds), once % len(seeds)
+                many = np.searchsorted(seeds, seeds[slot], side="right") - slot
+                slot = np.repeat(slot, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                doc, item, spot = np.repeat(doc, many), owners[slot], places[slot]
+                order = np.lexsort((spot, item, doc))
+                doc, item, spot = doc[order], item[order], spot[order]
+                if not len(doc):
+                    continue
+                edge = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0)))
+                for s, e in zip(edge, [*edge[1:], len(doc)], strict=True):
+                    d, k = int(doc[s]), int(item[s])
+                    # what seeds cover bounds what tiles can cover
+                    bound = n + np.minimum(np.diff(spot[s:e]), n).sum()
+                    if bound >= coverage * len(self.tokens[k]):
+                        row = self.compare(words[at[d] : at[d + 1]], k)
+                        if row and row[4] >= coverage:
+                            yield lo + d, row
 
 
 def small_enough(benchmark: DataFrame, limit: int) -> bool:
@@ -165,16 +250,30 @@ def _by_seed_join(docs: DataFrame, benchmark: DataFrame, coverage: float, min_ti
     texts meet the benchmark once.
     """
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(lengths: list[int] | None):
+        """Seeds of the texts: of all these lengths, or of each text the length that it has as an item."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = string_array(b.column(1))
+                for lo, hi in text_slices(texts):
+                    words, at = word_hashes(texts.slice(lo, hi - lo))
+                    size = np.diff(at)
+                    for n in lengths or range(1, min_tile + 1):
+                        g = ngram_hashes(words, n)
+                        doc = np.searchsorted(at, np.arange(len(g)), side="right") - 1
+                        inside = np.arange(len(g)) + n <= at[doc + 1]
+                        if not lengths:
+                            inside &= np.minimum(size, min_tile)[doc] == n
+                        pairs = np.unique(np.stack([doc[inside].astype(np.uint64), g[inside]]), axis=1)
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pairs[0].astype(np.int64) + lo)), pa.array(pairs[1].view(np.int64))], names=["k", "seed"])
+
+        return run
+
+    def lengths_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = string_array(b.column(1))
-            for lo, hi in text_slices(texts):
-                words, at = word_hashes(texts.slice(lo, hi - lo))
-                g = ngram_hashes(words, min_tile)
-                doc = np.searchsorted(at, np.arange(len(g)), side="right") - 1
-                inside = np.arange(len(g)) + min_tile <= at[doc + 1]
-                pairs = np.unique(np.stack([doc[inside].astype(np.uint64), g[inside]]), axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pairs[0].astype(np.int64) + lo)), pa.array(pairs[1].view(np.int64))], names=["k", "seed"])
+            n = np.minimum(np.diff(word_hashes(string_array(b.column(0)))[1]), min_tile)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(n[n > 0]))], names=["n"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,8 +289,9 @@ def _by_seed_join(docs: DataFrame, benchmark: DataFrame, coverage: float, min_ti
     key = F.sha1("text")
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("item_text")).where("item_text is not null").distinct().withColumn("i", F.sha1("item_text"))
     texts = docs.where("text is not null").select(key.alias("k"), "text").dropDuplicates(["k"])
-    d_seeds = texts.mapInArrow(emit, "k string, seed bigint").distinct()
-    i_seeds = items.select("i", "item_text").distinct().mapInArrow(emit, "k string, seed bigint").select(F.col("k").alias("i"), "seed").distinct()
+    lengths = sorted(r.n for r in items.select("item_text").mapInArrow(lengths_of, "n bigint").distinct().collect())  # min_tile rows at most
+    d_seeds = texts.mapInArrow(emit(lengths or [min_tile]), "k string, seed bigint").distinct()
+    i_seeds = items.select("i", "item_text").distinct().mapInArrow(emit(None), "k string, seed bigint").select(F.col("k").alias("i"), "seed").distinct()
     pairs = materialise(d_seeds.join(i_seeds, "seed").select("k", "i").distinct(), "pairs")
     met = pairs.join(texts, "k").join(items, "i")
     return met.select("k", "text", "item_id", "item_text").mapInArrow(compare, "k string, " + SCHEMA)
@@ -203,7 +303,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     if not small_enough(benchmark, limit):
         k = free_name(docs.columns, "text_key")
         bad = materialise(_by_seed_join(docs, benchmark, coverage, min_tile).select(F.col("k").alias(k)).distinct(), "leaks")
-        return docs.withColumn(k, F.sha1("text")).join(checked_broadcast(bad, bad.count(), 64), k, "left_anti").select(docs.columns)
+        return docs.withColumn(k, F.sha1("text")).join(checked_broadcast(bad, bad.count(), 64), k, "left_anti").select(columns(docs.columns))
     shared = docs.sparkSession.sparkContext.broadcast(_fetch(benchmark, min_tile))
     at, names = docs.columns.index("text"), docs.columns
 
