@@ -1,11 +1,12 @@
 """Transcript parsing: roles by a hidden Markov model, then canonical turns.
 
 A transcript is plain text in which turns may open with a speaker marker of some fashion ("User:", "### Response:", "[sam]",
-"**AI**:") or with none. Each line is one observation of several features: the marker's name if it is in the LEXICON, else
-how an unknown name relates to those before it; blank line before; last sign; length; list, quote or code look. Hidden states are
-(role, opens a turn) and (role, goes on), so a line that goes on keeps its role. Start, transition and feature
-probabilities are counted over labelled transcripts (add-one), features being independent given the state; Viterbi then
-recovers the roles of all lines at once, and each opening line begins a canonical turn.
+"**AI**:") or with none. Each line is one observation of several features: the marker's name if it is in the LEXICON and
+labelled transcripts have it, else how it relates to those before it; blank line before; last sign; length; list, quote or
+code look. Hidden states are (role, opens a turn) and (role, goes on), so a line that goes on keeps its role. Start, transition and feature
+probabilities are counted over labelled transcripts and smoothed, features being independent given the state; Viterbi then
+recovers the roles of all lines at once, and each opening line begins a canonical turn. Blank lines inside a turn stay as they
+are; those between turns, which only set them apart, go.
 
 The counts are sufficient: a few hundred rows leave the executors whatever the number of transcripts.
 
@@ -34,6 +35,8 @@ LEXICON = tuple("user human assistant ai bot model system instruction response i
 MARKER = re.compile(r"^\s{0,3}(?:#{1,6}\s*([^\W\d_][\w .\-]{0,30}?)\s*:?\s*$|\*\*([^\W\d_][\w .\-]{0,30}?)\*\*\s*:\s?|\[([^\W\d_][\w .\-]{0,30}?)\]\s*:?\s?|<([^\W\d_][\w .\-]{0,30}?)>\s*:?\s?|([^\W\d_][\w.\-]{0,20}(?: [\w.\-]{1,12})?):(?:\s|$))")
 FEATURES = ("marker", "blank_before", "last_sign", "length", "look")
 NAMES = ("alex", "sam", "kim", "robin", "lee", "jo")
+#: Lines that what is known of all states counts as, against those of one state.
+POOL = 3.0
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -71,29 +74,28 @@ def transcripts_of(conversations: DataFrame) -> DataFrame:
     )
 
 
-def observe(transcript: str) -> list[tuple[str, tuple[str, ...], str]]:
-    """(line, features, line without its marker) of each line that isn't blank."""
-    out, blank, first_name, last_name = [], True, None, None
+def observe(transcript: str) -> list[tuple[str, tuple[str, ...], str, list[str], str]]:
+    """(line, features, line without its marker, blank lines before it, how its marker relates to others) of each line that isn't blank."""
+    out, blank, first_name, last_name, gap = [], True, None, None, []
     for line in transcript.split("\n"):
         if not line.strip():
             blank = True
+            gap.append(line)
             continue
         m = MARKER.match(line)
-        symbol, rest = "none", line
+        symbol, rest, relation = "none", line, "none"
         if m:
             own = next(g for g in m.groups() if g).strip().lower()
             rest = line[m.end() :]
-            if own in LEXICON:
-                symbol = own
-            else:
-                symbol = "new" if first_name is None else "same" if own == last_name else "first" if own == first_name else "other"
+            relation = "new" if first_name is None else "same" if own == last_name else "first" if own == first_name else "other"
+            symbol = own if own in LEXICON else relation
             first_name, last_name = first_name or own, own
         tail = rest.rstrip()[-1:] or "nothing"
         n = len(line)
         look = "code" if line.startswith(("    ", "\t", "```")) else "list" if re.match(r"\s*(?:[-*+]|\d+[.)])\s", line) else "quote" if line.startswith(">") else "upper" if rest[:1].isupper() else "plain"
         last = tail if tail in ".?!:,;" or tail == "nothing" else "other"
-        out.append((line, (symbol, str(blank), last, str(min(n, 1023).bit_length()), look), rest))
-        blank = False
+        out.append((line, (symbol, str(blank), last, str(n.bit_length()), look), rest, gap, relation))
+        blank, gap = False, []
     return out
 
 
@@ -107,33 +109,55 @@ class Model:
     emit: list[dict[str, np.ndarray]]
     unseen: list[np.ndarray]
 
-    def decode(self, observed: list[tuple[str, tuple[str, ...], str]]) -> list[int]:
+    def decode(self, observed: list[tuple]) -> list[int]:
         """The most probable states, by Viterbi; ties go to the first state."""
-        if not observed:
-            return []
-        scores = np.stack([sum(self.emit[k].get(f, self.unseen[k]) for k, f in enumerate(features)) for _, features, _ in observed])
-        best, back = self.start + scores[0], []
-        for s in scores[1:]:
-            way = best[:, None] + self.move
-            back.append(way.argmax(0))
-            best = way.max(0) + s
-        state = int(best.argmax())
-        path = [state]
-        for b in reversed(back):
-            state = int(b[state])
-            path.append(state)
-        return path[::-1]
+        return self.decode_all([observed])[0]
+
+    def decode_all(self, many: list[list[tuple]]) -> list[list[int]]:
+        """The most probable states of all sequences, a step of all of them at a time."""
+        numbers: dict[tuple[str, ...], int] = {}
+        size = np.array([len(o) for o in many], np.int64)
+        # a name that no labelled transcript has is told by how it relates to others, as unknown ones are
+        flat = np.array([numbers.setdefault(x[1] if x[1][0] in self.emit[0] else (x[-1], *x[1][1:]), len(numbers)) for o in many for x in o], np.int64)
+        if not len(flat):
+            return [[] for _ in many]
+        table = np.stack([sum(self.emit[k].get(f, self.unseen[k]) for k, f in enumerate(features)) for features in numbers])
+        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        # longest first: those that still go on are always the first ones
+        order = np.argsort(-size, kind="stable")
+        alive = np.searchsorted(-size[order], -np.arange(size.max()), side="left")
+        best, back = self.start + table[flat[begin[order[: alive[0]]]]], []
+        for t in range(1, len(alive)):
+            n = alive[t]
+            way = best[:n, :, None] + self.move
+            back.append(way.argmax(1).astype(np.int16))
+            best[:n] = way.max(1) + table[flat[begin[order[:n]] + t]]
+        states = np.empty(len(flat), np.int64)
+        now = np.zeros(len(order), np.int64)
+        for t in range(len(alive) - 1, -1, -1):
+            n, later = alive[t], alive[t + 1] if t + 1 < len(alive) else 0
+            if later:
+                now[:later] = back[t][np.arange(later), now[:later]]
+            now[later:n] = best[later:n].argmax(1)
+            states[begin[order[:n]] + t] = now[:n]
+        return [states[b : b + k].tolist() for b, k in zip(begin, size, strict=True)]
 
     def turns(self, transcript: str) -> list[tuple[str, str]]:
         """(role, text) of each turn."""
-        observed = observe(transcript)
-        out: list[tuple[str, list[str]]] = []
-        for (line, _, rest), state in zip(observed, self.decode(observed), strict=True):
-            if state % 2 == 0 or not out:
-                out.append((self.roles[state // 2], [rest] if rest.strip() else []))
-            else:
-                out[-1][1].append(line)
-        return [(r, "\n".join(x)) for r, x in out]
+        return self.turns_all([transcript])[0]
+
+    def turns_all(self, transcripts: list[str]) -> list[list[tuple[str, str]]]:
+        many = [observe(t) for t in transcripts]
+        found = []
+        for observed, states in zip(many, self.decode_all(many), strict=True):
+            out: list[tuple[str, list[str]]] = []
+            for (line, _, rest, gap, _), state in zip(observed, states, strict=True):
+                if state % 2 == 0 or not out:
+                    out.append((self.roles[state // 2], [rest] if rest.strip() else []))
+                else:
+                    out[-1][1].extend([*gap, line])
+            found.append([(r, "\n".join(x)) for r, x in out])
+        return found
 
 
 def _state_of(roles: list[str], role: str, goes_on: bool) -> int:
@@ -154,12 +178,14 @@ def fit(transcripts: DataFrame) -> Model:
                     labels += [(turn["role"], k > 0) for k in range(len(own))]
                 observed = observe(gap.join(t["text"] or "" for t in turns))
                 before = None
-                for (role, goes_on), (_, features, _) in zip(labels, observed, strict=True):
+                for (role, goes_on), (_, features, *_, relation) in zip(labels, observed, strict=True):
                     state = None if role is None else f"{int(goes_on)}{role}"
                     if state is not None:
                         counts["start" if before is None else "move", before or "", state] += 1
                         for k, f in enumerate(features):
                             counts[FEATURES[k], f, state] += 1
+                        if features[0] != relation:  # known names teach how unknown ones go
+                            counts[FEATURES[0], relation, state] += 1
                     before = state
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in counts], pa.string()) for i in range(3)] + [pa.array(list(counts.values()), pa.int64())], names=["kind", "a", "b", "n"])
 
@@ -189,9 +215,12 @@ def model_of(counts: list[tuple[str, str, str, int]]) -> Model:
         move = np.log(move / move.sum(1, keepdims=True))
     emit, unseen = [], []
     for k in range(len(FEATURES)):
-        total = sum(seen[k].values(), np.zeros(states)) + len(seen[k]) + 1
-        emit.append({a: np.log((n + 1) / total) for a, n in seen[k].items()})
-        unseen.append(np.log(1 / total))
+        # a state is smoothed by all that open a turn, or all that go on; these by one of each symbol and one unseen
+        total = sum(seen[k].values(), np.zeros(states))
+        pooled = lambda n: np.where(opens, n[opens].sum(), n[~opens].sum())
+        share = lambda n: (pooled(n) + 1) / (pooled(total) + len(seen[k]) + 1)
+        emit.append({a: np.log((n + POOL * share(n)) / (total + POOL)) for a, n in seen[k].items()})
+        unseen.append(np.log(POOL * share(np.zeros(states)) / (total + POOL)))
     return Model(roles, start, move, emit, unseen)
 
 
@@ -208,7 +237,8 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = string_array(b.column(1)).to_pylist()
-            turns = [None if t is None else shared.value.turns(t) for t in texts]
+            found = iter(shared.value.turns_all([t for t in texts if t is not None]))
+            turns = [None if t is None else next(found) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).cast(pa.int64()),
