@@ -1,10 +1,14 @@
 """License scans by template markup.
 
-A template is a text in which ``<<beginOptional>>...<<endOptional>>`` encloses wording that may be missing and
-``<<var;match=RE;max=N>>`` stands for 1 to N tokens that each match RE. Both compile, with the mandatory wording, into a
-token automaton; a text holds the license wherever the automaton accepts a run of its tokens, so mandatory wording must
-match token by token and optional regions wholly or not at all. Tokens are runs of letters and digits, joined by inner
-``.``, ``-`` or ``'``, in lower case; white space and other signs between them do not count, as matching guidelines ask.
+A template is a text in the public template markup: ``<<beginOptional>>...<<endOptional>>`` encloses wording that may be
+missing, and ``<<var;name="..";original="..";match="RE">>`` stands for wording that may be replaced. Both compile, with the
+mandatory wording, into a token automaton; a text holds the license wherever the automaton accepts a run of its tokens, so
+mandatory wording must match token by token and optional regions wholly or not at all. Templates hold the whole wording of
+their licenses; those whose names end in -notice, -header or -tag are the notices that refer to one.
+
+What a variable takes: ``.{a,b}`` so many tokens at most, and none only if a is 0; ``.+`` and ``.*`` any number; anything else
+is a pattern of one token. Tokens are runs of letters and digits, joined by inner ``.``, ``-`` or ``'``, in lower case; white
+space and other signs between them do not count, as matching guidelines ask.
 
 Defined cases: null and empty texts hold no license; a license that occurs several times, without overlap, counts as
 often; of two accepted runs that begin at one token the longer counts; repeated documents and null ids give rows of their
@@ -15,57 +19,62 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import workers_see_package
 
 TOKEN = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
-MARK = re.compile(r"<<beginOptional>>|<<endOptional>>|<<var;match=(.*?);max=(\d+)>>", re.S)
-
-#: Notices and whole licenses. The first mandatory token of each, its anchor, opens every occurrence.
-TEMPLATES: dict[str, str] = {
-    "Apache-notice": r"Licensed under the Apache License<<beginOptional>>, Version <<var;match=\d(?:\.\d)?;max=1>><<endOptional>>",
-    "CC-notice": r"Licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>><<var;match=cc|creative;max=1>> <<beginOptional>>Commons <<endOptional>><<var;match=by(?:-nc|-sa|-nd)*|attribution(?:-[a-z]+)*;max=1>> <<var;match=\d(?:\.\d)?;max=1>>",
-    "GPL-notice": r"licensed under the GNU <<beginOptional>>Lesser <<endOptional>><<beginOptional>>Affero <<endOptional>>General Public License<<beginOptional>>, version <<var;match=\d(?:\.\d)?;max=1>><<endOptional>>",
-    "MIT-notice": r"<<var;match=released|licensed|distributed;max=1>> under the <<beginOptional>>terms of the <<endOptional>>MIT License",
-    "SPDX-tag": r"SPDX-License-Identifier: <<var;match=[a-z0-9.\-]+;max=1>>",
-    "MIT": r"""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-        documentation files (the "<<var;match=.+;max=3>>"), to deal in the <<var;match=.+;max=3>> without restriction, including without
-        limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
-        <<var;match=.+;max=3>>, and to permit persons to whom the <<var;match=.+;max=3>> is furnished to do so, subject to the following conditions:
-        The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall
-        be included in all copies or substantial portions of the <<var;match=.+;max=3>>.""",
-    "ISC": r"""Permission to use, copy, modify, <<beginOptional>>and/or <<endOptional>><<beginOptional>>and <<endOptional>>distribute this software
-        for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
-        notice appear in all copies.""",
-    "BSD-2-Clause": r"""Redistribution and use in source and binary forms, with or without modification, are permitted provided that
-        the following conditions are met: <<beginOptional>>1. <<endOptional>>Redistributions of source code must retain the above copyright
-        notice, this list of conditions and the following disclaimer. <<beginOptional>>2. <<endOptional>>Redistributions in binary form
-        must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
-        and/or other materials provided with the distribution.""",
-}
+MARK = re.compile(r"<<beginOptional(?:;[^>]*)?>>|<<endOptional>>|<<var;(.*?)>>", re.S)
+_MATCH = re.compile(r'match="([^"]*)"')
+_ANY = re.compile(r"\.\{(\d+),(\d+)\}")
+#: Mandatory tokens at least so long are good filters: few other texts have them.
+LONG_TOKEN = 12
+
+
+@cache
+def templates() -> dict[str, str]:
+    """The templates beside this module, by name."""
+    return {p.stem: p.read_text() for p in sorted(Path(__file__).with_name("templates").glob("*.txt"))}
 
 
 def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def variable(mark: str) -> tuple[str | None, int, int | None]:
+    """(pattern of a token or None for any, least number of tokens, greatest or None) of a variable's attributes."""
+    found = _MATCH.search(mark)
+    if not found:
+        raise ValueError(f"a variable without match: {mark}")
+    if found[1] in (".+", ".*"):
+        return None, int(found[1] == ".+"), None
+    if m := _ANY.fullmatch(found[1]):
+        return None, min(int(m[1]), 1), int(m[2])
+    return found[1], 1, 1
+
+
+def _fits(p: str | re.Pattern | None, word: str) -> bool:
+    return p is None or (p == word if isinstance(p, str) else bool(p.fullmatch(word)))
+
+
 class Automaton:
     """A nondeterministic token automaton; states are numbered along the template."""
 
     def __init__(self, template: str):
-        self.edges: list[list[tuple[str | re.Pattern, int]]] = [[]]
+        self.edges: list[list[tuple[str | re.Pattern | None, int]]] = [[]]
         self.skips: list[list[int]] = [[]]
         opened: list[int] = []
         pos = 0
         for m in MARK.finditer(template):
             self._literal(template[pos : m.start()])
             pos = m.end()
-            if m[0] == "<<beginOptional>>":
+            if m[0].startswith("<<begin"):
                 opened.append(self._state())
                 self.skips[-2].append(len(self.edges) - 1)
             elif m[0] == "<<endOptional>>":
@@ -73,12 +82,16 @@ class Automaton:
                 self.skips[-2].append(len(self.edges) - 1)
                 self.skips[opened.pop()].append(len(self.edges) - 1)
             else:
-                predicate, most = re.compile(m[1], re.I), int(m[2])
+                pattern, least, most = variable(m[1])
+                predicate = pattern and re.compile(pattern, re.I)
                 begin = len(self.edges) - 1
-                for _ in range(most):
+                for _ in range(most or 1):
                     self.edges[-1].append((predicate, self._state()))
-                for s in range(begin + 1, len(self.edges) - 1):
-                    self.skips[s].append(len(self.edges) - 1)
+                end = len(self.edges) - 1
+                if most is None:
+                    self.edges[end].append((predicate, end))
+                for at in range(begin if least == 0 else begin + 1, end):
+                    self.skips[at].append(end)
         if opened:
             raise ValueError("an optional region is not closed")
         self._literal(template[pos:])
@@ -86,7 +99,10 @@ class Automaton:
         self.start = self._closure({0})
         if self.final in self.start:
             raise ValueError("a template needs mandatory wording")
-        self.anchors = {p for s in self.start for p, _ in self.edges[s]}
+        anchors = {p for s in self.start for p, _ in self.edges[s]}
+        if None in anchors:
+            raise ValueError("a template can't begin with any token")
+        self.firsts, self.patterns = {p for p in anchors if isinstance(p, str)}, [p for p in anchors if not isinstance(p, str)]
 
     def _state(self) -> int:
         self.edges.append([])
@@ -112,7 +128,7 @@ class Automaton:
         states, end = self.start, -1
         for k in range(at, len(words)):
             w = words[k]
-            states = {to for s in states for p, to in self.edges[s] if (p == w if isinstance(p, str) else p.fullmatch(w))}
+            states = {to for s in states for p, to in self.edges[s] if _fits(p, w)}
             if not states:
                 break
             states = self._closure(states)
@@ -123,7 +139,7 @@ class Automaton:
     def count(self, words: list[str]) -> int:
         n = at = 0
         while at < len(words):
-            end = self.match(words, at) if any(p == words[at] if isinstance(p, str) else p.fullmatch(words[at]) for p in self.anchors) else -1
+            end = self.match(words, at) if words[at] in self.firsts or any(_fits(p, words[at]) for p in self.patterns) else -1
             n, at = (n + 1, end) if end > 0 else (n, at + 1)
         return n
 
@@ -135,69 +151,79 @@ def mandatory(template: str) -> list[str]:
         if not depth:
             out += tokens(template[pos : m.start() if m else None])
         if m:
-            depth += {"<<beginOptional>>": 1, "<<endOptional>>": -1}.get(m[0], 0)
+            depth += 1 if m[0].startswith("<<begin") else -1 if m[0] == "<<endOptional>>" else 0
             pos = m.end()
     return out
 
 
-def rarest(template: str) -> str:
-    """The longest mandatory token: a text without it cannot be accepted."""
-    return max(mandatory(template), key=len)
+def needed(of: dict[str, str]) -> dict[str, str]:
+    """A mandatory token for each template, without which no text can be accepted; few and long ones for all together."""
+    left = {k: {t for t in mandatory(v) if len(t) >= LONG_TOKEN} or {max(mandatory(v), key=len)} for k, v in of.items()}
+    out: dict[str, str] = {}
+    while left:
+        best = max(sorted({t for own in left.values() for t in own}), key=lambda t: (sum(t in own for own in left.values()), len(t)))
+        out |= dict.fromkeys([k for k, own in left.items() if best in own], best)
+        left = {k: own for k, own in left.items() if best not in own}
+    return out
 
 
-def scan(df: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def scan(df: DataFrame, of: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, license_id, n_matches) for every license that a document holds.
 
-    The JVM passes on only texts with the longest mandatory token of some template, which every accepted text contains.
+    The JVM passes on only texts with a token that some template needs.
     """
     workers_see_package(df.sparkSession)
-    templates = TEMPLATES if templates is None else templates
-    needed = sorted({rarest(t) for t in templates.values()})
+    of = templates() if of is None else of
+    wanted = needed(of)
     low = F.lower("text")
-    held = df.select("doc_id", "text").where(reduce(lambda a, b: a | b, (low.contains(x) for x in needed)))
+    held = df.select("doc_id", "text").where(reduce(lambda a, b: a | b, (low.contains(x) for x in sorted(set(wanted.values())))))
+    schema = T.StructType([T.StructField("doc_id", df.schema["doc_id"].dataType), T.StructField("license_id", T.StringType()), T.StructField("n_matches", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = {k: (Automaton(t), rarest(t)) for k, t in sorted(templates.items())}
+        automata = {k: Automaton(t) for k, t in sorted(of.items())}
         for b in batches:
-            ids, names, counts = [], [], []
+            rows, names, counts = [], [], []
             for i in range(b.num_rows):
                 text = b.column(1)[i].as_py().lower()
-                wanted = [(k, a) for k, (a, x) in automata.items() if x in text]
-                words = tokens(text) if wanted else []
-                for k, a in wanted:
-                    if n := a.count(words):
-                        ids.append(b.column(0)[i].as_py())
+                there = {x for x in set(wanted.values()) if x in text}
+                words = tokens(text)
+                for k, a in automata.items():
+                    if wanted[k] in there and (n := a.count(words)):
+                        rows.append(i)
                         names.append(k)
                         counts.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["doc_id", "license_id", "n_matches"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=schema.names)
 
-    return held.mapInArrow(run, "doc_id bigint, license_id string, n_matches bigint")
+    return held.mapInArrow(run, schema)
 
 
 def as_regex(template: str) -> str:
-    """A regular expression with the same matches, for the SQL check (over lower-cased text)."""
-    gap, out, pos, pending = r"[^\p{L}\p{N}]+", [], 0, ""
+    """A regular expression with the same matches, over tokens that each stand between two spaces of their own."""
+    out, pos = [], 0
 
     def literal(text: str) -> str:
-        return "".join(f"(?:{re.escape(t)})(?:{gap}|$)" for t in tokens(text))
+        return "".join(f" {re.escape(t)} " for t in tokens(text)).replace("\\-", "-")
 
     for m in MARK.finditer(template):
         out.append(literal(template[pos : m.start()]))
         pos = m.end()
-        if m[0] == "<<beginOptional>>":
+        if m[0].startswith("<<begin"):
             out.append("(?:")
         elif m[0] == "<<endOptional>>":
             out.append(")?")
         else:
-            word = r"(?:[\p{L}\p{N}]+(?:[.\-'][\p{L}\p{N}]+)*)" if m[1] == ".+" else f"(?:{m[1]})"
-            out.append(f"(?:{word}(?:{gap}|$)){{1,{m[2]}}}")
+            pattern, least, most = variable(m[1])
+            out.append(f"(?: {'[^ ]+' if pattern is None else f'(?:{pattern})'} ){{{least},{'' if most is None else most}}}")
     out.append(literal(template[pos:]))
-    return pending + r"(?:^|[^\p{L}\p{N}])" + "".join(out)
+    return "".join(out)
 
 
 def oracle_sql() -> str:
     parts = []
-    for name, t in TEMPLATES.items():
-        found = "regexp_extract_all(lower(text), '" + as_regex(t).replace("'", "''") + "')"
-        parts.append(f"select doc_id, '{name}' as license_id, len({found})::bigint as n_matches from documents where len({found}) > 0")
-    return "\nunion all ".join(parts)
+    for name, t in templates().items():
+        found = "regexp_extract_all(t, '" + as_regex(t).replace("'", "''") + "')"
+        parts.append(f"select doc_id, '{name}' as license_id, len({found})::bigint as n_matches from spaced where contains(t, ' {max(mandatory(t), key=len).replace(chr(39), chr(39) * 2)} ')")
+    return (
+        "with spaced as (select doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]*([\\p{L}\\p{N}]+(?:[.\\-''][\\p{L}\\p{N}]+)*)[^\\p{L}\\p{N}]*', ' \\1 ', 'g') as t from documents)\n"
+        "select * from (" + "\nunion all ".join(parts) + ") where n_matches > 0"
+    )
