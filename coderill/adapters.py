@@ -124,6 +124,12 @@ class Logical:
             F.col("p_partkey").alias("id"), F.col("p_partkey").alias("class_id"), F.when(base > 0, base).alias("base_class_id"), F.concat(F.lit("part"), base.cast("string")).alias("base_class_name"), F.col("p_brand").alias("relationship_kind")
         )
 
+    @cached_property
+    def multi_inheritance(self) -> DataFrame:
+        """Parts as classes, and every size of which a supplier has shipped one as a base: most have several."""
+        lines = self.table("lineitem").select(F.col("l_partkey").alias("class_id"), (F.col("l_suppkey") % 3).alias("base_class_id"))
+        return lines.distinct().withColumn("id", F.col("class_id") * 3 + F.col("base_class_id"))
+
     @cached_property
     def package_managers(self) -> DataFrame:
         return self.table("nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.lower("n_name").alias("name"), F.concat(F.lit("eco"), F.col("n_regionkey").cast("string")).alias("ecosystem"))
@@ -155,6 +161,38 @@ class Logical:
         return self.table("supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 0, "protobuf").otherwise("graphql").alias("type_system"), F.col("s_name").alias("name"))
 
 
+class Parts(Logical):
+    """Parts as modules and an import for every line of an order, so that graphs grow with the tables.
+
+    Modules lie in blocks of 50. In odd blocks targets go round, which makes one cycle of all; in even ones they go forward.
+    """
+
+    @cached_property
+    def modules(self) -> DataFrame:
+        k = F.col("p_partkey")
+        name = F.concat(F.lit("m"), k.cast("string"))
+        return self.table("part").select(k.alias("id"), (k % 5).cast("bigint").alias("language_id"), F.concat(F.col("p_brand"), F.lit("/"), name, F.lit(".py")).alias("path"), name.alias("name"))
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        block, place, step = F.floor(F.col("l_partkey") / 50), F.col("l_partkey") % 50, F.col("l_linenumber")
+        target = block * 50 + F.when(block % 2 == 1, (place + step) % 50).otherwise(F.least(place + step, F.lit(49)))
+        lines = self.table("lineitem").select((F.col("l_orderkey") * 10 + step).alias("id"), F.col("l_partkey").alias("from_module_id"), target.cast("bigint").alias("t"), step.alias("step"))
+        name = F.concat(F.lit("m"), F.col("t").cast("string"))
+        text = F.when(F.col("step") == 7, F.concat(F.lit("ext."), name)).when(F.col("step") % 2 == 0, F.coalesce("path", name)).otherwise(name)
+        return lines.join(self.modules.select(F.col("id").alias("t"), "path"), "t", "left").select("id", "from_module_id", text.alias("to_module"))
+
+
+#: What Parts has instead, and joins by equality where the tables are large.
+PART_VIEWS: dict[str, str] = {
+    "lg_modules": "select p_partkey as id, (p_partkey % 5)::bigint as language_id, p_brand || '/m' || p_partkey || '.py' as path, 'm' || p_partkey as name from part",
+    "lg_targets": "select l_orderkey * 10 + l_linenumber as id, l_partkey as src, l_linenumber as step, l_partkey // 50 * 50 + case when l_partkey // 50 % 2 = 1 then (l_partkey % 50 + l_linenumber) % 50 else least(l_partkey % 50 + l_linenumber, 49) end as t from lineitem",
+    "lg_imports": "select k.id, src, case when step = 7 then 'ext.m' || t when step % 2 = 0 then coalesce(m.path, 'm' || t) else 'm' || t end as dst from lg_targets k left join lg_modules m on m.id = t",
+    "vw_met": "select i.id, i.src, i.dst, m.id as module_id from lg_imports i join lg_modules m on i.dst = m.name union select i.id, i.src, i.dst, m.id from lg_imports i join lg_modules m on i.dst = m.path",
+    "vw_first": "select id, src as from_module_id, min(module_id) as module_id from vw_met group by 1, 2",
+}
+
+
 #: The same tables in DuckDB SQL.
 VIEWS: dict[str, str] = {
     "lg_commits": "select o_orderkey as id, 'cust' || o_custkey as author_name, 'cust' || o_custkey || '@x' as author_email, o_orderdate as ts from orders",
@@ -175,6 +213,7 @@ VIEWS: dict[str, str] = {
     "lg_calls": f"select event_id as id, user_id % {N_CALL_FUNCTIONS} as src, case when event_id % 7 <> 0 then event_id % 200 end as dst, 'pkg.fn' || (event_id % 200 % 50) as to_name, event_type as call_kind from events",
     "lg_classes": "select p_partkey as id, p_partkey % 25 as module_id, p_name as name, p_type as kind from part",
     "lg_inheritance": "select p_partkey as class_id, case when p_partkey // 10 > 0 then p_partkey // 10 end as base_id, p_brand as kind from part",
+    "lg_multi_inheritance": "select distinct l_partkey as class_id, l_suppkey % 3 as base_id from lineitem",
     "lg_managers": "select n_nationkey::bigint as id, lower(n_name) as name, 'eco' || n_regionkey as ecosystem from nation",
     "lg_deps": "select p_partkey as id, p_partkey % 20 as manager_id, p_brand as manifest, p_name as package, case when p_size % 9 = 0 then '' else '==' || p_size || '.0' end as version, p_size % 2 = 0 as dev from part",
     "lg_endpoints": """select distinct page_id % 25 as module_id, case when page_id % 4 = 0 then 'route' else 'handler' end as endpoint_type,

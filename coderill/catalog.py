@@ -6,31 +6,37 @@ repository prunes the other partitions.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coderill.schemas import SCHEMAS, validate
 
 
+#: Facts by file, so that files which did not change are not parsed again.
+FACTS = "parsed_facts"
+
+
 def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``old`` and the rows of ``new`` whose key it lacks, one for each key."""
     return old.unionByName(new.dropDuplicates(key).join(old.select(key), key, "left_anti").select(old.columns))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those of the same key."""
+    """``old`` with the rows of ``new`` in place of those of the same key; of several new ones, the greatest in all columns."""
+    rest = [c for c in old.columns if c not in key]
     both = old.withColumn("_new", F.lit(0)).unionByName(new.select(old.columns).withColumn("_new", F.lit(1)))
-    last = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("_new")))
-    return both.withColumn("_at", last).where("_at = 1").select(old.columns)
+    last = F.max(F.struct("_new", *rest)).alias("_last")
+    return both.groupBy(*key).agg(last).select(*(F.col(c) if c in key else F.col("_last")[c].alias(c) for c in old.columns))
 
 
-def changed_files(scan: DataFrame, modules: DataFrame) -> DataFrame:
-    """Files whose (language_id, path, file_hash) is not yet known."""
-    return scan.join(modules.select("language_id", "path", "file_hash"), ["language_id", "path", "file_hash"], "left_anti")
+def changed_files(scan: DataFrame, known: DataFrame) -> DataFrame:
+    """Files whose (language, path, file_hash) is not yet known."""
+    key = ["language", "path", "file_hash"]
+    return scan.join(known.select(*key).distinct(), key, "left_anti")
 
 
 class Catalog:
@@ -47,11 +53,24 @@ class Catalog:
         return f"{self.root}/{table}/repo={quote(repo, safe=' .-_')}"
 
     def write(self, repo: str, table: str, df: DataFrame, strict: bool = True) -> None:
-        """Replace the repository's part of the table. Strict: rows that break the schema's rules are an error."""
-        bad = validate(df, table)
-        if strict and not bad.isEmpty():
-            raise ValueError(f"rows of {table} break its rules: {bad.limit(3).collect()}")
-        df.write.mode("overwrite").parquet(self._at(table, repo))
+        """Replace the repository's part of the table. Strict: rows that break the schema's rules are an error.
+
+        Rows are made once: they are written aside, checked as they lie there, and then take the old ones' place.
+        """
+        at, aside = self._at(table, repo), f"{self.root}/_staged/{table}-{uuid.uuid4().hex}"
+        df.write.parquet(aside)
+        bad = validate(self.spark.read.schema(df.schema).parquet(aside), table).limit(3).collect() if strict else []
+        if bad:
+            self._fs.delete(self._path(aside), True)
+            raise ValueError(f"rows of {table} break its rules: {bad}")
+        self._fs.delete(self._path(at), True)
+        self._fs.mkdirs(self._path(at).getParent())
+        if not self._fs.rename(self._path(aside), self._path(at)):
+            raise OSError(f"can't move {aside} to {at}")
+
+    def facts(self, repo: str) -> DataFrame | None:
+        """What the parsers found in the repository's files when it was analysed last, by the hash of each file."""
+        return self.read(FACTS, repo) if self._exists(self._at(FACTS, repo)) else None
 
     def read(self, table: str, repo: str | None = None) -> DataFrame:
         """All repositories' rows with ``repo``, or one's without."""
@@ -77,7 +96,7 @@ class Catalog:
         return any(self._exists(self._at(table, repo)) for table in SCHEMAS)
 
     def drop(self, repo: str) -> None:
-        for table in SCHEMAS:
+        for table in (*SCHEMAS, FACTS):
             if self._exists(self._at(table, repo)):
                 self._fs.delete(self._path(self._at(table, repo)), True)
 

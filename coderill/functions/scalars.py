@@ -49,6 +49,21 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part * F.lit(100.0) / whole).otherwise(F.lit(0.0))
 
 
+def exact_mean(value: Column) -> Column:
+    """The mean of doubles to twelve places, the same in whatever order rows are summed."""
+    return F.sum(value.cast("decimal(24,12)")).cast("double") / F.nullif(F.count(value), F.lit(0))
+
+
+def round_half_even(value: Column, places: int = 0) -> Column:
+    """Rounded to even where two are equally near, as Python rounds exact values."""
+    return F.bround(value, places)
+
+
+def to_fixed(value: Column, places: int) -> Column:
+    """Text with so many places, of two equally near the one further from 0."""
+    return F.format_string(f"%.{places}f", value.cast("double"))
+
+
 def flag(condition: Column) -> Column:
     """1 where the condition holds, else 0."""
     return F.when(condition, 1).otherwise(0)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coderill.catalog import Catalog
-from coderill.operators import ecosystem, temporal
+from coderill.catalog import FACTS, Catalog, changed_files
+from coderill.operators import ecosystem, resolve, temporal
 from coderill.parsers import EXTENSIONS, SKIPPED
 from coderill.schemas import LANGUAGES, MANAGERS, SCHEMAS, seeds
 from coderill.sources import api_text, git, manifests, tree
@@ -16,8 +16,16 @@ MANIFESTS = ["requirements*.txt", "pyproject.toml", "Pipfile", "package.json", "
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Ids from 1 in a stable order; tables of one repository are small next to the store."""
-    return df.withColumn("id", F.row_number().over(W.orderBy(*(F.col(c).asc_nulls_first() for c in order))).cast("bigint"))
+    """Ids from 1 in the order of the columns.
+
+    They are counted in two steps: places among the rows of one first value, and a running sum over the first values alone; so
+    no task sees all rows.
+    """
+    first, rest = order[0], [F.col(c).asc_nulls_first() for c in order[1:]] or [F.lit(0)]
+    sizes = df.groupBy(F.col(first).alias("_first")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(F.col("_first").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = df.withColumn("_place", F.row_number().over(W.partitionBy(first).orderBy(*rest)))
+    return placed.join(sizes.select("_first", before.alias("_before")), F.col(first).eqNullSafe(F.col("_first"))).withColumn("id", (F.col("_before") + F.col("_place")).cast("bigint")).drop("_first", "_before", "_place")
 
 
 def _fit(df: DataFrame, table: str) -> DataFrame:
@@ -34,15 +42,24 @@ def history(spark: SparkSession, catalog: Catalog, path: str, repo: str) -> None
     catalog.write(repo, "author_ownership", temporal.ownership(changes, commits, catalog.read("authors", repo)))
 
 
+def parsed(spark: SparkSession, catalog: Catalog, path: str, repo: str) -> DataFrame:
+    """The facts of all files as they are now: parsed where a file is new or changed, else as they were found before."""
+    scanned = tree.source_files(spark, path)
+    before = catalog.facts(repo)
+    if before is None:
+        now = tree.facts(scanned)
+    else:
+        kept = before.join(scanned.select("language", "path", "file_hash"), ["language", "path", "file_hash"], "left_semi")
+        now = kept.unionByName(tree.facts(changed_files(scanned, before)))
+    catalog.write(repo, FACTS, now, strict=False)
+    return catalog.read(FACTS, repo)
+
+
 def structure(spark: SparkSession, catalog: Catalog, path: str, repo: str) -> None:
-    scanned = None
-    for language in EXTENSIONS:
-        one = tree.source_files(spark, path, language)
-        scanned = one if scanned is None else scanned.unionByName(one)
+    found = parsed(spark, catalog, path, repo)
     langs = spark.createDataFrame(list(enumerate(LANGUAGES, 1)), "language_id bigint, language string")
-    found = tree.facts(scanned)
     catalog.write(repo, "languages", seeds(spark, "languages"))
-    known = numbered(found.where("entity = 'module'").select("language", "path").join(scanned.select("path", "file_hash"), "path").join(F.broadcast(langs), "language"), "path")
+    known = numbered(found.where("entity = 'module'").select("language", "path", "file_hash").join(F.broadcast(langs), "language"), "path")
     known = known.withColumn("name", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1))
     catalog.write(repo, "modules", _fit(known, "modules"))
     at = catalog.read("modules", repo).select(F.col("id").alias("module_id"), "path")
@@ -56,10 +73,14 @@ def structure(spark: SparkSession, catalog: Catalog, path: str, repo: str) -> No
     catalog.write(repo, "imports", _fit(numbered(imports.join(at, "path").withColumnsRenamed({"module_id": "from_module_id", "line": "line_number"}), "from_module_id", "line_number", "to_module", "import_name"), "imports"))
     bases = tree.entity(found, "inheritance", base="string", relationship_kind="string", position="bigint", **{"class": "string"}).join(at, "path")
     bases = bases.withColumn("class", F.element_at(F.split("class", r"\."), -1)).join(own, ["module_id", "class"]).withColumnRenamed("base", "base_class_name")
-    catalog.write(repo, "inheritance", _fit(numbered(bases, "class_id", "position"), "inheritance"))
+    bases = numbered(bases, "class_id", "position")
+    known = resolve.resolve_classes(bases.select("id", "class_id", "base_class_name"), catalog.read("classes", repo))
+    catalog.write(repo, "inheritance", _fit(bases.join(known.select("id", "base_class_id"), "id"), "inheritance"))
     calls = tree.entity(found, "call", to_name="string", call_kind="string", line="bigint", **{"from": "string"}).join(at, "path").withColumnsRenamed({"from": "name", "line": "line_number"})
     calls = calls.join(fn, ["module_id", "name"]).withColumnRenamed("function_id", "from_function_id")
-    catalog.write(repo, "calls", _fit(numbered(calls, "from_function_id", "line_number", "to_name"), "calls"))
+    calls = numbered(calls, "from_function_id", "line_number", "to_name")
+    known = resolve.resolve_names(calls.select("id", "from_function_id", "to_name"), catalog.read("functions", repo))
+    catalog.write(repo, "calls", _fit(calls.join(known.select("id", "to_function_id"), "id"), "calls"))
     marks = tree.entity(found, "decorator", target_type="string", target="string", decorator_name="string", arguments="string", line="bigint").join(at, "path").withColumnsRenamed({"target": "name", "line": "line_number"})
     marks = marks.join(fn, ["module_id", "name"], "left").withColumnRenamed("function_id", "target_id")
     catalog.write(repo, "decorators", _fit(numbered(marks, "module_id", "line_number", "decorator_name"), "decorators"))

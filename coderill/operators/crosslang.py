@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coderill.operators.resolve import resolve_any
 
 
-def matches(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Calls whose URL holds an endpoint's path and whose method is the same; every match stays.
+def _key(path: Column) -> Column:
+    """The longest piece of a pattern that holds no wildcard, in lower case: whatever the pattern fits holds it."""
+    pieces = F.split(F.lower(path), r"[%_\\\\]")
+    return F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+
+
+def _holding(calls: DataFrame, ends: DataFrame) -> DataFrame:
+    """(url, m, key) for the distinct URLs of ``calls`` and each key of an endpoint of their method that they hold.
 
-    The method is an equality, the path a residual condition on each pair of one method.
+    A URL is taken apart into its pieces of the lengths that keys of its method have, so that "holds" is an equality.
     """
-    ends = endpoints.select("method", "path", "endpoint_type").distinct()
-    return calls.join(ends, "method").where(F.expr("contains(url_pattern, path)")).select("id", "url_pattern", "method", "call_type", "path", "endpoint_type")
+    keys = ends.select("m", "key").distinct()
+    lengths = keys.groupBy("m").agg(F.collect_set(F.length("key")).alias("lengths"))
+    urls = calls.select(F.col("method").alias("m"), F.col("url_pattern").alias("url")).distinct().join(lengths, "m")
+    pieces = F.expr("array_distinct(flatten(transform(lengths, n -> if(n > length(url), cast(array() as array<string>), transform(sequence(1, length(url) - n + 1), k -> substring(lower(url), k, n))))))")
+    return urls.select("m", "url", F.explode(pieces).alias("key")).join(keys, ["m", "key"])
+
+
+def matches(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Calls whose URL holds an endpoint's path and whose method is the same; every match stays."""
+    ends = endpoints.select(F.col("method").alias("m"), "path", "endpoint_type").distinct().withColumn("key", F.lower("path"))
+    met = _holding(calls, ends).join(ends, ["m", "key"]).where(F.expr("contains(url, path)")).drop("key")
+    return calls.join(met, (F.col("m") == F.col("method")) & (F.col("url") == F.col("url_pattern"))).select("id", "url_pattern", "method", "call_type", "path", "endpoint_type")
 
 
 def unmatched_calls(calls: DataFrame, matched: DataFrame) -> DataFrame:
@@ -37,8 +53,9 @@ def summary(calls: DataFrame, endpoints: DataFrame, matched: DataFrame) -> DataF
 
 def coupling(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     """All calls, with the endpoints of that method whose path, as a pattern of any case, is in the URL."""
-    ends = endpoints.select(F.col("method").alias("m"), "path", "endpoint_type").distinct()
-    return calls.join(ends, (F.col("m") == F.col("method")) & F.expr("url_pattern ilike concat('%', path, '%')"), "left").select("id", "url_pattern", "method", "call_type", "path", "endpoint_type")
+    ends = endpoints.select(F.col("method").alias("m"), "path", "endpoint_type").distinct().withColumn("key", _key(F.col("path")))
+    met = _holding(calls, ends).join(ends, ["m", "key"]).where(F.expr("url ilike concat('%', path, '%')")).drop("key")
+    return calls.join(met, (F.col("m") == F.col("method")) & (F.col("url") == F.col("url_pattern")), "left").select("id", "url_pattern", "method", "call_type", "path", "endpoint_type")
 
 
 def cross_imports(imports: DataFrame, modules: DataFrame, languages: DataFrame) -> DataFrame:

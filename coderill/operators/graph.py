@@ -1,4 +1,4 @@
-"""Cycles of imports: strongly connected components by joins."""
+"""Cycles of imports: strongly connected components, in one task while the edges are few, else by joins."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coderill.operators.resolve import resolve_first
 from coderill.sinks import shared_folder
+from coderill.sources.tree import workers_see_package
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -18,6 +19,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of edges that one task holds at most.
+FEW_BYTES = 64 << 20
+
+
 def edges(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """Distinct (src, dst) paths of modules where one imports the other; self-imports left out."""
     met = resolve_first(imports, modules)
@@ -37,13 +42,71 @@ def _trim(e: DataFrame) -> DataFrame:
         e = kept
 
 
-def components(e: DataFrame) -> DataFrame:
+def tarjan(src: list[str], dst: list[str]) -> list[tuple[str, str]]:
+    """(node, least node of its component) of all nodes on a cycle, without recursion."""
+    names = sorted({*src, *dst})
+    number = {n: k for k, n in enumerate(names)}
+    out: list[list[int]] = [[] for _ in names]
+    for a, b in zip(src, dst, strict=True):
+        out[number[a]].append(number[b])
+    seen, low, held, stack, found = [-1] * len(names), [0] * len(names), [False] * len(names), [], []
+    count = 0
+    for root in range(len(names)):
+        if seen[root] >= 0:
+            continue
+        way = [(root, 0)]
+        while way:
+            node, at = way.pop()
+            if at == 0:
+                seen[node] = low[node] = count
+                count += 1
+                stack.append(node)
+                held[node] = True
+            elif held[out[node][at - 1]]:
+                low[node] = min(low[node], low[out[node][at - 1]])
+            if at < len(out[node]):
+                way.append((node, at + 1))
+                if seen[out[node][at]] < 0:
+                    way.append((out[node][at], 0))
+            elif low[node] == seen[node]:
+                own = []
+                while not own or own[-1] != node:
+                    own.append(stack.pop())
+                    held[own[-1]] = False
+                if len(own) > 1:
+                    found += [(names[k], names[min(own)]) for k in own]
+    return found
+
+
+def components(e: DataFrame, few_bytes: int = FEW_BYTES) -> DataFrame:
     """(node, component) of all nodes on a cycle; the component is its least node.
 
+    Edges of a counted size up to ``few_bytes`` go to one task, which goes through them once; more are coloured by joins.
+    """
+    e = written(e.select("src", "dst").distinct(), "edges")
+    size = e.agg(F.sum(F.octet_length("src") + F.octet_length("dst"))).first()[0] or 0
+    if size > few_bytes:
+        return coloured(e)
+
+    def run(batches):
+        import pandas as pd
+
+        got = list(batches)
+        if got:
+            both = pd.concat(got)
+            yield pd.DataFrame(tarjan(both["src"].tolist(), both["dst"].tolist()), columns=["node", "component"])
+
+    workers_see_package(e.sparkSession)
+    return e.coalesce(1).mapInPandas(run, "node string, component string")
+
+
+def coloured(e: DataFrame) -> DataFrame:
+    """``components`` of any number of distinct edges.
+
     Colouring: the greatest label that reaches a node along the edges is its colour; within a colour, what also reaches the
     node of that label is one component. It is taken out, and the rest goes on. No closure is held, so memory grows with edges.
     """
-    e = _trim(written(e.select("src", "dst").distinct(), "edges"))
+    e = _trim(e)
     found: DataFrame | None = None
     while not e.isEmpty():
         label = written(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node")), "label")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coderill.functions.scalars import flag, share
+from coderill.functions.scalars import exact_mean, flag, share
 from coderill.operators.resolve import resolve_any
 from coderill.operators.temporal import coupled
 
@@ -30,7 +30,7 @@ def quality(functions: DataFrame, hints: DataFrame, measured: DataFrame | None =
     out = out.select(simple.alias("complexity_score"), coverage.alias("type_score"), F.coalesce("high_complexity_count", F.lit(0)).alias("high_complexity_count"))
     if measured is None:
         return out.withColumn("overall", 0.5 * F.col("complexity_score") + 0.5 * F.col("type_score")).withColumn("band", band(F.col("overall")))
-    stable = measured.agg(F.avg("instability").alias("i"), F.coalesce(F.sum(flag(F.col("classification") == "high_risk")), F.lit(0)).alias("high_risk_modules"))
+    stable = measured.agg(exact_mean(F.col("instability")).alias("i"), F.coalesce(F.sum(flag(F.col("classification") == "high_risk")), F.lit(0)).alias("high_risk_modules"))
     out = out.crossJoin(stable).withColumn("stability_score", F.greatest(F.lit(0.0), 100.0 - 100.0 * F.coalesce("i", F.lit(0.0)))).drop("i")
     overall = 0.3 * F.col("complexity_score") + 0.3 * F.col("type_score") + 0.4 * F.col("stability_score")
     return out.withColumn("overall", overall).withColumn("band", band(F.col("overall")))

@@ -55,3 +55,16 @@ def resolve_names(calls: DataFrame, functions: DataFrame) -> DataFrame:
     own = functions.groupBy(F.col("module_id").alias("home"), F.col("name").alias("short")).agg(F.min("id").alias("same"))
     anywhere = functions.groupBy(F.col("name").alias("short")).agg(F.min("id").alias("other"))
     return short.join(home, "from_function_id", "left").join(own, ["home", "short"], "left").join(anywhere, "short", "left").select("id", "from_function_id", F.coalesce("same", "other").alias("to_function_id"))
+
+
+def resolve_classes(inheritance: DataFrame, classes: DataFrame) -> DataFrame:
+    """The class that a base names by its last dotted part: of the heir's own module first, then of least id; never the heir."""
+    short = inheritance.withColumn("short", F.element_at(F.split("base_class_name", r"\."), -1))
+    named = classes.select(F.col("id").alias("base"), "module_id", F.element_at(F.split("name", r"\."), -1).alias("short"))
+    home = classes.select(F.col("id").alias("class_id"), F.col("module_id").alias("home"))
+    # two of least id each, since the heir may be one of them
+    two = lambda of: F.slice(F.array_sort(F.collect_list("base")), 1, 2).alias(of)
+    own, anywhere = named.groupBy(F.col("module_id").alias("home"), "short").agg(two("same")), named.groupBy("short").agg(two("other"))
+    met = short.join(home, "class_id", "left").join(own, ["home", "short"], "left").join(anywhere, "short", "left")
+    first = lambda of: F.get(F.filter(of, lambda x: x != F.col("class_id")), F.lit(0))
+    return met.select("id", "class_id", F.coalesce(first("same"), first("other")).alias("base_class_id"))

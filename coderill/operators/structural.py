@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coderill.functions.scalars import flag, share
+from coderill.functions.scalars import exact_mean, flag, share
 from coderill.operators.resolve import resolve_any
 
 BINS = (("1-5", 1, 5), ("6-10", 6, 10), ("11-15", 11, 15), ("16-20", 16, 20), ("21+", 21, None))
@@ -41,7 +41,7 @@ def risk(value: Column, ca: Column, ce: Column) -> Column:
 
 def instability_stats(measured: DataFrame) -> DataFrame:
     return measured.agg(
-        F.avg("ca").alias("avg_ca"), F.max("ca").alias("max_ca"), F.avg("ce").alias("avg_ce"), F.max("ce").alias("max_ce"), F.avg("instability").alias("avg_instability"),
+        F.avg("ca").alias("avg_ca"), F.max("ca").alias("max_ca"), F.avg("ce").alias("avg_ce"), F.max("ce").alias("max_ce"), exact_mean(F.col("instability")).alias("avg_instability"),
         F.sum(flag(F.col("classification") == "high_risk")).alias("high_risk"), F.sum(flag(F.col("classification") == "rigid")).alias("rigid"),
     )
 

@@ -25,7 +25,7 @@ SHARED |= {
     "vw_quality": "select greatest(0.0::double, 100.0::double - 5.0::double * (select avg(cc) from lg_functions where cc > 0)) as complexity_score, (select count(*) from lg_functions where id in (select function_id from lg_hints)) * 100.0::double / (select count(*) from lg_functions) as type_score,"
     " (select count(*) from lg_functions where cc > 15) as high_complexity_count",
     "vw_scored": "select *, 0.3::double * complexity_score + 0.3::double * type_score + 0.4::double * stability_score as overall from (select q.*, (select count(*) from vw_risk where classification = 'high_risk') as high_risk_modules,"
-    " greatest(0.0::double, 100.0::double - 100.0::double * (select avg(instability) from (select instability from vw_inst order by module_id))) as stability_score from vw_quality q)",
+    " greatest(0.0::double, 100.0::double - 100.0::double * (select sum(instability::decimal(24,12))::double / count(*) from vw_inst)) as stability_score from vw_quality q)",
     "vw_ends": "select distinct method, path, endpoint_type from lg_endpoints",
     "vw_matched": "select c.id, c.url as url_pattern, c.method, c.call_type, e.path, e.endpoint_type from lg_api_calls c join vw_ends e on e.method = c.method and contains(c.url, e.path)",
     "vw_conflicts": "select a.package as package_name, a.id as id1, b.id as id2, a.version as version1, b.version as version2, a.manifest as manifest1, b.manifest as manifest2,"
@@ -50,8 +50,7 @@ def hidden(t: Logical) -> DataFrame:
 
 
 def scored(t: Logical) -> DataFrame:
-    # an average of doubles is summed in one order on both sides of the check
-    return quality.quality(t.functions, t.type_hints, measured(t).orderBy("module_id").coalesce(1))
+    return quality.quality(t.functions, t.type_hints, measured(t))
 
 
 def matched(t: Logical) -> DataFrame:

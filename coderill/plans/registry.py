@@ -10,12 +10,16 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coderill.adapters import Logical, with_views
+from coderill.adapters import PART_VIEWS, Logical, Parts, with_views
 
 _QUERIES: dict[str, Callable[[Logical], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 #: Views that several queries of one module share.
 SHARED: dict[str, str] = {}
+#: Queries that are also run with parts as modules, under their name and ``_parts``.
+OVER_PARTS = (
+    "gr_edges", "gr_scc", "gr_cycle_table", "resolve_first", "resolve_tiered", "jn_import_module_or", "set_imports_sym", "mx_structural", "agg_afferent", "agg_efferent", "agg_instability", "agg_instability_stats", "agg_import_counts", "agg_group_concat",
+)
 
 
 def query(sql: str | None = None) -> Callable:
@@ -37,9 +41,10 @@ def _load() -> None:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
-    return {name: (lambda spark, sf_dir, f=f: f(Logical(spark, sf_dir))) for name, f in _QUERIES.items()}
+    found = {name: (lambda spark, sf_dir, f=f: f(Logical(spark, sf_dir))) for name, f in _QUERIES.items()}
+    return found | {f"{name}_parts": (lambda spark, sf_dir, f=_QUERIES[name]: f(Parts(spark, sf_dir))) for name in OVER_PARTS}
 
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return {name: with_views(sql, SHARED) for name, sql in _SQL.items()}
+    return {name: with_views(sql, SHARED) for name, sql in _SQL.items()} | {f"{name}_parts": with_views(_SQL[name], SHARED | PART_VIEWS) for name in OVER_PARTS}

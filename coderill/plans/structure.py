@@ -69,9 +69,9 @@ def prj_stability(t: Logical) -> DataFrame:
     return measured(t).select("path", "stability")
 
 
-@query("select avg(ca) as avg_ca, max(ca) as max_ca, avg(ce) as avg_ce, max(ce) as max_ce, avg(instability) as avg_instability, count(case when classification = 'high_risk' then 1 end) as high_risk, count(case when classification = 'rigid' then 1 end) as rigid from (select * from vw_risk order by module_id)")
+@query("select avg(ca) as avg_ca, max(ca) as max_ca, avg(ce) as avg_ce, max(ce) as max_ce, sum(instability::decimal(24,12))::double / count(*) as avg_instability, count(case when classification = 'high_risk' then 1 end) as high_risk, count(case when classification = 'rigid' then 1 end) as rigid from vw_risk")
 def agg_instability_stats(t: Logical) -> DataFrame:
-    return structural.instability_stats(measured(t).orderBy("module_id").coalesce(1))
+    return structural.instability_stats(measured(t))
 
 
 @query("select count(case when classification = 'high_risk' then 1 end) as high_risk, count(case when classification = 'rigid' then 1 end) as rigid from vw_risk")
@@ -183,9 +183,9 @@ def agg_inheritance(t: Logical) -> DataFrame:
     return structural.inheritance_stats(t.inheritance)
 
 
-@query("select count(*) as multiple from (select relationship_kind from (select kind as relationship_kind from lg_inheritance) group by 1 having count(*) > 1)")
+@query("select count(*) as multiple from (select class_id from lg_multi_inheritance group by 1 having count(*) > 1)")
 def agg_multi_inherit(t: Logical) -> DataFrame:
-    many = structural.parents(t.inheritance.select(F.col("relationship_kind").alias("class_id")))
+    many = structural.parents(t.multi_inheritance)
     return many.where("parent_count > 1").agg(F.count(F.lit(1)).alias("multiple"))
 
 

@@ -9,6 +9,13 @@ from coderill.adapters import Logical
 from coderill.functions import scalars
 from coderill.operators import temporal
 from coderill.plans.registry import query
+from coderill.sources import git, tree
+
+
+@query("select l_orderkey * 10 + l_linenumber as id, round_even(l_discount * 100 / 8, 1)::double as rounded, printf('%.2f', l_extendedprice) as fixed from lineitem")
+def fn_rounding(t: Logical) -> DataFrame:
+    # eighths are exact doubles, so ties are ties
+    return t.table("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), scalars.round_half_even(F.col("l_discount") * 100 / 8, 1).cast("double").alias("rounded"), scalars.to_fixed(F.col("l_extendedprice"), 2).alias("fixed"))
 
 
 @query("select p_partkey as id, regexp_replace(list_last(string_split(p, '/')), '(.)[.][^.]*$', '\\1') as stem, list_last(string_split(p, '/')) as base from (select p_partkey, p_brand || '/' || replace(p_type, ' ', '.') as p from part)")
@@ -22,20 +29,29 @@ def src_incremental_hash(t: Logical) -> DataFrame:
     return t.table("pages").select("page_id", F.sha2("html", 256).alias("file_hash"), temporal.root_lines(F.col("html")).alias("lines"))
 
 
+def _by_git(source, result: str):
+    """A function of the Git source, over a column."""
+    return F.pandas_udf(lambda s: s.map(source, na_action="ignore"), result)
+
+
 @query("select doc_id, len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, 'A') and not starts_with(x, 'AAA'))) as plus from documents")
 def src_line_counts(t: Logical) -> DataFrame:
-    return t.table("documents").select("doc_id", temporal.patch_lines(F.col("text"), "A").alias("plus"))
+    tree.workers_see_package(t.spark)
+    plus = _by_git(lambda x: git.signed(x.encode().split(b"\n"), b"A"), "bigint")
+    return t.table("documents").select("doc_id", plus("text").alias("plus"))
 
 
 @query("select doc_id, len(string_split(text, chr(10))) as lines from documents")
 def src_root_commit(t: Logical) -> DataFrame:
-    return t.table("documents").select("doc_id", temporal.root_lines(F.col("text")).alias("lines"))
+    tree.workers_see_package(t.spark)
+    return t.table("documents").select("doc_id", _by_git(lambda x: git.pieces(x.encode()), "bigint")("text").alias("lines"))
 
 
 @query("select l_orderkey as commit_id, l_linenumber as n, case when l_returnflag = 'A' then 'A' when l_linestatus = 'F' then 'D' when l_quantity > 40 then 'R' when l_discount > 0.05 then 'C' else 'M' end as change_type from lineitem")
 def src_file_changes(t: Logical) -> DataFrame:
-    kind = temporal.classify(F.col("l_returnflag") == "A", F.col("l_linestatus") == "F", F.col("l_quantity") > 40, F.col("l_discount") > 0.05)
-    return t.table("lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_linenumber").alias("n"), kind.alias("change_type"))
+    tree.workers_see_package(t.spark)
+    status = F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_linestatus") == "F", "D").when(F.col("l_quantity") > 40, "R087").when(F.col("l_discount") > 0.05, "C100").otherwise("T")
+    return t.table("lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_linenumber").alias("n"), _by_git(git.kind_of, "string")(status).alias("change_type"))
 
 
 @query("select page_id, path from (select page_id, unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) as path from pages)")

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 import tempfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a folder of this machine."""
+    """``spark.checkpoint.dir`` of the session; where it is unset and tasks run on this machine (tests), a folder of it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="coderill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,10 +40,19 @@ def report_csv(df: DataFrame, path: str) -> None:
             out.writerow(["" if v is None else v for v in row])
 
 
+def _records(df: DataFrame):
+    """JSON texts of the rows, as the driver gets them, a partition at a time."""
+    return (x["j"] for x in df.selectExpr("to_json(struct(*), map('ignoreNullFields', 'false')) as j").toLocalIterator()) if df.columns else iter(())
+
+
 def report_json(df: DataFrame, path: str) -> None:
-    """One JSON array of records with an indent of two."""
-    rows = [json.loads(x) for x in df.selectExpr("to_json(struct(*), map('ignoreNullFields', 'false')) as j").toPandas()["j"]] if df.columns else []
-    Path(path).write_text(json.dumps(rows, indent=2, ensure_ascii=False))
+    """One JSON array of records with an indent of two, written row after row."""
+    with open(path, "w", encoding="utf-8") as f:
+        before = "[\n"
+        for text in _records(df):
+            f.write(before + "  " + json.dumps(json.loads(text), indent=2, ensure_ascii=False).replace("\n", "\n  "))
+            before = ",\n"
+        f.write("[]" if before == "[\n" else "\n]")
 
 
 def report_text(df: DataFrame, n: int = 10) -> str:
@@ -51,4 +62,4 @@ def report_text(df: DataFrame, n: int = 10) -> str:
 
 def report_document(parts: dict[str, DataFrame]) -> str:
     """One JSON document of several named results."""
-    return json.dumps({k: [json.loads(x["j"]) for x in df.selectExpr("to_json(struct(*), map('ignoreNullFields', 'false')) as j").toLocalIterator()] for k, df in parts.items()}, ensure_ascii=False)
+    return json.dumps({k: [json.loads(x) for x in _records(df)] for k, df in parts.items()}, ensure_ascii=False)

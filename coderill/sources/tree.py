@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from coderill.parsers import EXTENSIONS, SKIPPED, parse
 
-FACT = T.StructType([T.StructField("language", T.StringType()), T.StructField("path", T.StringType()), T.StructField("entity", T.StringType()), T.StructField("fact", T.MapType(T.StringType(), T.StringType()))])
+FACT = T.StructType([T.StructField("language", T.StringType()), T.StructField("path", T.StringType()), T.StructField("file_hash", T.StringType()), T.StructField("entity", T.StringType()), T.StructField("fact", T.MapType(T.StringType(), T.StringType()))])
 
 
 def workers_see_package(spark: SparkSession) -> None:
@@ -45,27 +45,31 @@ def languages_of(suffix_map: dict[str, tuple[str, ...]] = EXTENSIONS) -> list[st
     return list(suffix_map)
 
 
-def source_files(spark: SparkSession, root: str, language: str) -> DataFrame:
-    return files(spark, root, list(EXTENSIONS[language]), SKIPPED).withColumn("language", F.lit(language))
+def source_files(spark: SparkSession, root: str, language: str | None = None) -> DataFrame:
+    """Files of one language, or of all in one scan; where languages share a suffix, a file is there once for each."""
+    wanted = {k: v for k, v in EXTENSIONS.items() if language in (None, k)}
+    found = files(spark, root, sorted({x for v in wanted.values() for x in v}), SKIPPED)
+    of = F.array(*(F.when(F.exists(F.array(*(F.lit(x) for x in v)), lambda x: F.col("path").endswith(x)), F.lit(k)) for k, v in wanted.items()))
+    return found.withColumn("language", F.explode(F.array_compact(of)))
 
 
 def facts(scanned: DataFrame) -> DataFrame:
-    """(language, path, entity, fact) of all entities that the parsers find; a file that is no UTF-8 has none, one that can't
+    """(language, path, file_hash, entity, fact) of all entities that the parsers find; a file that is no UTF-8 has none, one that can't
     be parsed is a module without content."""
     workers_see_package(scanned.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for language, path, content in zip(b["language"], b["path"], b["content"], strict=True):
+            for language, path, file_hash, content in zip(b["language"], b["path"], b["file_hash"], b["content"], strict=True):
                 try:
                     text = bytes(content).decode()
                 except UnicodeDecodeError:
                     continue
-                rows += [(language, path, entity, {k: None if v is None else str(v) for k, v in fact.items()}) for entity, fact in parse(language, path, text)]
-            yield pd.DataFrame(rows, columns=["language", "path", "entity", "fact"])
+                rows += [(language, path, file_hash, entity, {k: None if v is None else str(v) for k, v in fact.items()}) for entity, fact in parse(language, path, text)]
+            yield pd.DataFrame(rows, columns=FACT.names)
 
-    return scanned.select("language", "path", "content").mapInPandas(run, FACT)
+    return scanned.select("language", "path", "file_hash", "content").mapInPandas(run, FACT)
 
 
 def entity(found: DataFrame, kind: str, /, **columns: str) -> DataFrame:

@@ -67,7 +67,9 @@ def test_writes(spark):
     old, new = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string")
     assert {tuple(r) for r in insert_ignore(old, new, ["k"]).collect()} == {(1, "a"), (2, "c")}
     assert {tuple(r) for r in upsert(old, new, ["k"]).collect()} == {(1, "b"), (2, "c")}
-    scan, known = spark.createDataFrame([(1, "p", "h1"), (1, "q", "h2")], "language_id int, path string, file_hash string"), spark.createDataFrame([(1, "p", "h1"), (1, "q", "old")], "language_id int, path string, file_hash string")
+    twice = spark.createDataFrame([(1, "b"), (1, "x"), (1, None)], "k int, v string")
+    assert [tuple(r) for r in upsert(old, twice, ["k"]).collect()] == [(1, "x")]
+    scan, known = spark.createDataFrame([("c", "p", "h1"), ("c", "q", "h2")], "language string, path string, file_hash string"), spark.createDataFrame([("c", "p", "h1"), ("c", "q", "old")], "language string, path string, file_hash string")
     assert [r.path for r in changed_files(scan, known).collect()] == ["q"]
 
 
@@ -90,3 +92,63 @@ def test_streaming_refresh(spark, tmp_path):
     df.withColumn("commit_id", F.lit(2)).write.mode("append").parquet(str(tmp_path / "in"))
     refresh.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [tuple(r) for r in refresh.current(spark, str(tmp_path / "out")).collect()] == [("f", "2024-02", 2, 6)]
+
+
+def test_calls_and_bases_are_resolved(spark, repo, tmp_path):
+    repo.commit(a_DOT_py="from b import Base\n\ndef helper():\n    return 1\n\ndef main():\n    return helper()\n\nclass Kid(Base):\n    pass\n", b_DOT_py="import a\n\nclass Base:\n    pass\n\ndef other():\n    return a.main()\n")
+    catalog = Catalog(spark, str(tmp_path / "store"))
+    ingest.analyse(spark, catalog, str(repo.path))
+    r = Reports(catalog, "sample")
+    calls = r.call_graph()
+    assert {(x.caller, x.callee) for x in calls["calls"].collect()} == {("main", "helper"), ("other", "main")}
+    assert [x.name for x in calls["entry_points"].collect()] == ["other"]
+    names = {x.id: x.name for x in catalog.read("classes", "sample").collect()}
+    assert [(names[x.class_id], names[x.base_class_id]) for x in catalog.read("inheritance", "sample").collect()] == [("Kid", "Base")]
+
+
+def test_a_class_is_not_its_own_base(spark):
+    from coderill.operators.resolve import resolve_classes
+
+    classes = spark.createDataFrame([(1, 1, "Model"), (2, 2, "Model"), (3, 2, "Other")], "id bigint, module_id bigint, name string")
+    bases = spark.createDataFrame([(1, 1, "orm.Model"), (2, 2, "Model"), (3, 3, "x.Model"), (4, 3, "Gone"), (5, 3, None)], "id bigint, class_id bigint, base_class_name string")
+    assert {r.id: r.base_class_id for r in resolve_classes(bases, classes).collect()} == {1: 2, 2: 1, 3: 2, 4: None, 5: None}
+
+
+def test_files_that_did_not_change_are_not_parsed_again(spark, repo, tmp_path):
+    from coderill.catalog import FACTS
+
+    repo.commit(a_DOT_py="def one():\n    pass\n", b_DOT_py="def two():\n    pass\n", c_DOT_py="def gone():\n    pass\n")
+    catalog = Catalog(spark, str(tmp_path / "store"))
+    ingest.analyse(spark, catalog, str(repo.path))
+    # a mark in the facts of a.py shows whether they were kept
+    facts = catalog.facts("sample")
+    mark = F.when((F.col("path") == "a.py") & (F.col("entity") == "function"), F.map_concat(F.map_filter("fact", lambda k, v: k != "name"), F.create_map(F.lit("name"), F.lit("kept")))).otherwise(F.col("fact"))
+    catalog.write("sample", FACTS, facts.withColumn("fact", mark), strict=False)
+    repo.commit(b_DOT_py="def three():\n    pass\n", c_DOT_py=None)
+    ingest.analyse(spark, catalog, str(repo.path))
+    assert sorted(r.name for r in catalog.read("functions", "sample").collect()) == ["kept", "three"]
+    assert sorted(r.path for r in catalog.read("modules", "sample").collect()) == ["a.py", "b.py"]
+
+
+def test_rows_that_break_rules_leave_the_old_ones(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "store"))
+    schema = "file_a string, file_b string, co_change_count bigint, jaccard_similarity double"
+    catalog.write("r", "temporal_coupling", spark.createDataFrame([("a", "b", 1, 0.5)], schema))
+    with pytest.raises(ValueError):
+        catalog.write("r", "temporal_coupling", spark.createDataFrame([("a", "b", 1, 1.5)], schema))
+    assert catalog.read("temporal_coupling", "r").first().jaccard_similarity == 0.5 and catalog.repos() == ["r"]
+
+
+def test_numbers_without_one_task_for_all(spark):
+    df = spark.createDataFrame([(k % 3 if k % 4 else None, k) for k in range(40)], "g bigint, v bigint").repartition(5)
+    got = ingest.numbered(df, "g", "v").orderBy("id").collect()
+    assert [r.id for r in got] == list(range(1, 41)) and [(r.g, r.v) for r in got] == sorted(((r.g, r.v) for r in got), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+
+
+def test_json_reports_are_what_json_dumps_writes(spark, tmp_path):
+    df = spark.createDataFrame([(1, "ä", None, [1, 2]), (2, "b", 0.5, None)], "a int, b string, c double, d array<int>").coalesce(1)
+    sinks.report_json(df, str(tmp_path / "x.json"))
+    rows = [{"a": 1, "b": "ä", "c": None, "d": [1, 2]}, {"a": 2, "b": "b", "c": 0.5, "d": None}]
+    assert (tmp_path / "x.json").read_text() == json.dumps(rows, indent=2, ensure_ascii=False)
+    sinks.report_json(df.limit(0), str(tmp_path / "y.json"))
+    assert json.loads((tmp_path / "y.json").read_text()) == []
