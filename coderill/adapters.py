@@ -183,13 +183,14 @@ class Parts(Logical):
         return lines.join(self.modules.select(F.col("id").alias("t"), "path"), "t", "left").select("id", "from_module_id", text.alias("to_module"))
 
 
-#: What Parts has instead, and joins by equality where the tables are large.
+#: What Parts has instead, and joins by equality where the tables are large. Ids of imports repeat where lines do.
 PART_VIEWS: dict[str, str] = {
     "lg_modules": "select p_partkey as id, (p_partkey % 5)::bigint as language_id, p_brand || '/m' || p_partkey || '.py' as path, 'm' || p_partkey as name from part",
     "lg_targets": "select l_orderkey * 10 + l_linenumber as id, l_partkey as src, l_linenumber as step, l_partkey // 50 * 50 + case when l_partkey // 50 % 2 = 1 then (l_partkey % 50 + l_linenumber) % 50 else least(l_partkey % 50 + l_linenumber, 49) end as t from lineitem",
     "lg_imports": "select k.id, src, case when step = 7 then 'ext.m' || t when step % 2 = 0 then coalesce(m.path, 'm' || t) else 'm' || t end as dst from lg_targets k left join lg_modules m on m.id = t",
-    "vw_met": "select i.id, i.src, i.dst, m.id as module_id from lg_imports i join lg_modules m on i.dst = m.name union select i.id, i.src, i.dst, m.id from lg_imports i join lg_modules m on i.dst = m.path",
-    "vw_first": "select id, src as from_module_id, min(module_id) as module_id from vw_met group by 1, 2",
+    "vw_met": "select i.id, i.src, i.dst, m.id as module_id from lg_imports i join lg_modules m on i.dst = m.name union all select i.id, i.src, i.dst, m.id from lg_imports i join lg_modules m on i.dst = m.path",
+    "lg_keys": "select key, min(id) as module_id from (select id, name as key from lg_modules union all select id, path from lg_modules) group by 1",
+    "vw_first": "select i.id, i.src as from_module_id, k.module_id from lg_imports i join lg_keys k on k.key = i.dst",
 }
 
 
