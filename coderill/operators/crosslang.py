@@ -10,7 +10,7 @@ from coderill.operators.resolve import resolve_any
 
 def _key(path: Column) -> Column:
     """The longest piece of a pattern that holds no wildcard, in lower case: whatever the pattern fits holds it."""
-    pieces = F.split(F.lower(path), r"[%_\\\\]")
+    pieces = F.split(F.lower(path), "[%_]")
     return F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
 
 
@@ -52,9 +52,12 @@ def summary(calls: DataFrame, endpoints: DataFrame, matched: DataFrame) -> DataF
 
 
 def coupling(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """All calls, with the endpoints of that method whose path, as a pattern of any case, is in the URL."""
+    """All calls, with the endpoints of that method whose path, as a pattern of any case, is in the URL.
+
+    % and _ are wildcards; no sign takes that from them.
+    """
     ends = endpoints.select(F.col("method").alias("m"), "path", "endpoint_type").distinct().withColumn("key", _key(F.col("path")))
-    met = _holding(calls, ends).join(ends, ["m", "key"]).where(F.expr("url ilike concat('%', path, '%')")).drop("key")
+    met = _holding(calls, ends).join(ends, ["m", "key"]).where(F.expr("url ilike concat('%', path, '%') escape '\\u0001'")).drop("key")
     return calls.join(met, (F.col("m") == F.col("method")) & (F.col("url") == F.col("url_pattern")), "left").select("id", "url_pattern", "method", "call_type", "path", "endpoint_type")
 
 
