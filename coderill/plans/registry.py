@@ -34,9 +34,15 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
+def registered(name: str) -> tuple[Callable[[Logical], DataFrame], str]:
+    """A query that is there already, and its SQL."""
+    return _QUERIES[name], _SQL[name]
+
+
 @cache
 def _load() -> None:
-    from coderill.plans import coupling, crosscut, history, structure, text  # noqa: F401
+    from coderill.plans import coupling, crosscut, history, structure, text  # noqa: F401, I001
+    from coderill.plans import own  # noqa: F401  (after those that it takes up)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

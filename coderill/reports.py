@@ -11,6 +11,11 @@ from coderill.catalog import Catalog
 from coderill.operators import activity, crosslang, ecosystem, graph, matrix, quality, structural, temporal
 
 
+def page(df: DataFrame, size: int, number: int, *order: str | Column) -> DataFrame:
+    """The ``number``-th page, from 1, of so many rows in an order; a top-k sort, of which the pages before are left out."""
+    return df.orderBy(*order).offset(size * (number - 1)).limit(size)
+
+
 class Reports:
     def __init__(self, catalog: Catalog, repo: str):
         self.catalog, self.repo = catalog, repo
