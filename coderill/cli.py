@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coderill import ingest, sinks
+from coderill import examples, ingest, sinks
 from coderill.catalog import Catalog
 from coderill.operators import temporal
 from coderill.reports import Reports
@@ -39,6 +39,9 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--export-json")
     sub.add_parser("compare-repos").add_argument("repos", nargs="+")
     sub.add_parser("list")
+    x = sub.add_parser("regenerate-examples")
+    x.add_argument("--folder", default="examples")
+    x.add_argument("--clean", action="store_true")
     return p
 
 
@@ -63,6 +66,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
                 failed += 1
                 print(f"{path}: {e}", file=sys.stderr)
         return int(failed > 0)
+    elif a.command == "regenerate-examples":
+        for path in examples.make(a.folder, a.clean):
+            name = git.repo_name(path)
+            if a.clean:
+                catalog.drop(name)
+            print("analysed", ingest.analyse(spark, catalog, path))
+            print(sinks.report_text(Reports(catalog, name).summary()))
     elif a.command == "list":
         print("\n".join(catalog.repos()))
     elif a.command == "show-metrics":

@@ -10,21 +10,34 @@ import re
 from collections.abc import Iterator
 
 _KEYWORDS = set("if for while switch catch return new using lock foreach else do try fixed sizeof typeof nameof when throw await function super this".split())
-_BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
-_COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/|(\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)", re.S)
+_REMARK = r"//[^\n]*|/\*.*?\*/"
+_DOUBLE, _CHAR = r"\"(?:\\.|[^\"\\\n])*\"", r"'(?:\\[^'\n]+|[^'\\\n])'"
+#: A pattern between slashes stands where a value may begin.
+_PATTERN = r"(?<=[=(,:\[!&|?{};\n])[ \t]*/(?![*/ ])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
+_SCRIPT = rf"{_DOUBLE}|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
+#: What may hold anything, by language: strings of all sorts, raw ones first. A quote that closes no character opens none.
+_QUOTED = {
+    "csharp": rf"\"\"\".*?\"\"\"|[$]?@[$]?\"(?:\"\"|[^\"])*\"|{_DOUBLE}|{_CHAR}",
+    "java": rf"\"\"\"(?:\\.|[^\\])*?\"\"\"|{_DOUBLE}|{_CHAR}",
+    "rust": rf"\bb?r(?P<hash>#*)\".*?\"(?P=hash)|\"(?:\\.|[^\"\\])*\"|{_CHAR}",
+    "cpp": rf"\b(?:u8|[uUL])?R\"(?P<mark>[^()\\\s]{{0,16}})\(.*?\)(?P=mark)\"|{_DOUBLE}|(?<![0-9A-Fa-f]){_CHAR}",
+    "go": rf"{_DOUBLE}|{_CHAR}|`[^`]*`",
+}
+_BLANK = {k: re.compile(rf"{_REMARK}|{v}", re.S) for k, v in _QUOTED.items()} | dict.fromkeys(("typescript", "javascript"), re.compile(rf"{_REMARK}|{_SCRIPT}|{_PATTERN}", re.S))
+_COMMENT = {k: re.compile(rf"{_REMARK}|(?P<text>{v})", re.S) for k, v in _QUOTED.items()} | dict.fromkeys(("typescript", "javascript"), re.compile(rf"{_REMARK}|(?P<text>{_SCRIPT}|{_PATTERN})", re.S))
 
 
 def _keep_lines(m: re.Match) -> str:
     return re.sub(r"[^\n]", " ", m[0])
 
 
-def blanked(text: str) -> str:
+def blanked(text: str, language: str = "typescript") -> str:
     """The text with comments and strings as blanks, of the same length."""
-    return _BLANK.sub(_keep_lines, text)
+    return _BLANK[language].sub(_keep_lines, text)
 
 
-def uncommented(text: str) -> str:
-    return _COMMENT.sub(lambda m: m[0] if m[1] else _keep_lines(m), text)
+def uncommented(text: str, language: str = "typescript") -> str:
+    return _COMMENT[language].sub(lambda m: m[0] if m["text"] else _keep_lines(m), text)
 
 
 def closing(text: str, at: int) -> int:
@@ -133,8 +146,8 @@ def _bases(language: str, tail: str, kind: str) -> Iterator[tuple[str, str]]:
 
 
 def entities(language: str, text: str) -> Iterator[tuple[str, dict]]:
-    bare = blanked(text)
-    yield from _imports(language, uncommented(text))
+    bare = blanked(text, language)
+    yield from _imports(language, uncommented(text, language))
     space = ""
     if language in ("csharp", "java") and (m := re.search(r"^\s*(?:namespace|package)\s+([\w.]+)", bare, re.M)):
         space = m[1] + "."

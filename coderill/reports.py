@@ -96,9 +96,12 @@ class Reports:
 
 
 def of_all(catalog: Catalog, make: Callable[[Reports], DataFrame]) -> DataFrame | None:
-    """One report for every repository, with its name; None for an empty catalog."""
-    parts = [make(Reports(catalog, r)).withColumn("repo", F.lit(r)) for r in catalog.repos()]
+    """One report for every repository that has the tables it takes, with its name; None if none has."""
     out = None
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
+    for r in catalog.repos():
+        try:
+            one = make(Reports(catalog, r)).withColumn("repo", F.lit(r))
+        except FileNotFoundError:
+            continue
+        out = one if out is None else out.unionByName(one)
     return out

@@ -144,3 +144,19 @@ def test_interfaces(spark):
         ("openapi.json", '{"components": {"schemas": {"Pet": {"type": "object"}}}}'), ("bad.json", "{"),
     ], "path string, text string")
     assert {(r.type_system, r.name) for r in api_text.shared_types(types).collect()} >= {("protobuf", "User"), ("protobuf", "UserList"), ("graphql", "User"), ("graphql", "Query"), ("openapi", "Pet")}
+
+
+def test_what_is_quoted_hides_nothing_and_shows_nothing():
+    """Lifetimes, characters, raw strings, text blocks and patterns in which braces and keywords stand."""
+    rust = scan("rust", "pub fn longest<'a>(x: &'a str) -> &'a str { x }\nfn q() -> char { '\"' }\nfn r() { let s = r#\"fn no() { \"# ; }\nstruct S<'b> { y: &'b str }\n")
+    assert [f["name"] for f in rust["function"]] == ["longest", "q", "r"] and [c["name"] for c in rust["class"]] == ["S"]
+    cpp = scan("cpp", 'int a() { auto s = R"x(int no() { )" )x"; return 1\'000; }\nint b() { char c = \'{\'; return c; }\n')
+    assert [f["name"] for f in cpp["function"]] == ["a", "b"]
+    script = scan("javascript", "function a() { return /[/{\"]+/.test(x); }\nfunction b() { const r = /\\/{/g; return 4 / 2 / 1; }\n")
+    assert [(f["name"], f["line_end"]) for f in script["function"]] == [("a", 1), ("b", 2)]
+    java = scan("java", 'class A {\n  String t() { return """\n    void no() { "x" }\n    """; }\n  char c() { return \'}\'; }\n}\n')
+    assert [f["name"] for f in java["function"]] == ["t", "c"]
+    sharp = scan("csharp", 'class A {\n  string t() { return @"a "" { \\"; }\n  int u() { return 1; }\n}\n')
+    assert [f["name"] for f in sharp["function"]] == ["t", "u"]
+    go = scan("go", "func a() string { return `func no() { \\` }\nfunc b() {}\n")
+    assert [f["name"] for f in go["function"]] == ["a", "b"]

@@ -152,3 +152,14 @@ def test_json_reports_are_what_json_dumps_writes(spark, tmp_path):
     assert (tmp_path / "x.json").read_text() == json.dumps(rows, indent=2, ensure_ascii=False)
     sinks.report_json(df.limit(0), str(tmp_path / "y.json"))
     assert json.loads((tmp_path / "y.json").read_text()) == []
+
+
+def test_example_repositories(spark, tmp_path, capsys):
+    root = str(tmp_path / "store")
+    assert cli.main(["--store", root, "regenerate-examples", "--folder", str(tmp_path / "examples"), "--clean"], spark) == 0
+    catalog = Catalog(spark, root)
+    sizes = {r: (catalog.read("commits", r).count(), catalog.read("file_changes", r).select("file_path").distinct().count(), catalog.read("authors", r).count()) for r in catalog.repos()}
+    assert sizes == {"simple-linear": (5, 3, 1), "multi-author": (7, 3, 3), "high-churn": (14, 3, 1)}
+    # a repository without the table that a report takes is left out of all-repository reports
+    catalog._fs.delete(catalog._path(catalog._at("authors", "high-churn")), True)
+    assert {r.repo for r in of_all(catalog, lambda x: x.table("authors")).select("repo").distinct().collect()} == {"simple-linear", "multi-author"}
