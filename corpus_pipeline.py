@@ -1,4 +1,10 @@
-"""A corpus pipeline: each stage takes what its predecessor kept, as Parquet."""
+"""A corpus pipeline: each stage takes what its predecessor kept, as Parquet.
+
+Defined cases: documents with a null text go in the first stage, those without a word or letter in the second at the latest; of
+repeated rows, and of rows that share a text, one stays after the third; null ids and labels pass through (the label becomes the
+language found); columns of any other name pass through, and the last stage's own get underscores in front where they clash; an
+empty table gives an empty result with all columns.
+"""
 
 from __future__ import annotations
 
