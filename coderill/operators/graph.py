@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coderill.operators.resolve import resolve_first
-from coderill.sinks import shared_folder
+from coderill.sinks import application_folder
 from coderill.sources.tree import workers_see_package
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the folder that executors share: lineage ends there, and lost executors do no harm."""
-    path = f"{shared_folder(df.sparkSession)}/coderill/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{application_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

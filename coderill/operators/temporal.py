@@ -13,6 +13,9 @@ from pyspark.sql import Window as W
 
 from coderill.functions.scalars import days_between, month
 
+#: Files of a commit of which one task makes all pairs.
+COMMIT_BLOCK = 512
+
 
 def live(changes: DataFrame) -> DataFrame:
     return changes.where(F.col("change_type") != "D")
@@ -28,21 +31,6 @@ def first_seen_authors(commits: DataFrame, position: str) -> DataFrame:
     return commits.groupBy(F.col("author_email").alias("email")).agg(first).select(F.col("seen.author_name").alias("name"), "email")
 
 
-def classify(is_new: Column, is_deleted: Column, is_renamed: Column, is_copied: Column) -> Column:
-    """The type of a change, by precedence."""
-    return F.when(is_new, "A").when(is_deleted, "D").when(is_renamed, "R").when(is_copied, "C").otherwise("M")
-
-
-def patch_lines(patch: Column, sign: str) -> Column:
-    """Lines of a patch that begin with ``sign``, without file headers."""
-    return F.size(F.filter(F.split(patch, "\n"), lambda x: x.startswith(sign) & ~x.startswith(sign * 3))).cast("bigint")
-
-
-def root_lines(text: Column) -> Column:
-    """Lines that a parentless commit adds with a file: a trailing line break counts one more, no text none."""
-    return F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("bigint")
-
-
 def churn(changes: DataFrame, commits: DataFrame) -> DataFrame:
     """By file: commits, lines, first and last commit, authors."""
     # grouping by commit first keeps to the join's partitioning and leaves one distinct count only
@@ -78,16 +66,21 @@ def touched(changes: DataFrame) -> DataFrame:
     return live(changes).select("commit_id", "file_path").distinct()
 
 
-def jaccard(changes: DataFrame) -> DataFrame:
+def jaccard(changes: DataFrame, block: int = COMMIT_BLOCK) -> DataFrame:
     """Pairs file_a < file_b with a common commit: co_change_count and shared commits over all commits of either.
 
     Counts are enough; no set of commits is put together. Pairs come from a self-join on the commit, so files that never
-    change together never meet.
+    change together never meet. A commit of more than ``block`` files is cut into blocks, and each pair of blocks is a key of
+    its own, so that no task makes all pairs of a huge commit.
     """
     seen = touched(changes)
+    huge = seen.groupBy("commit_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    placed = seen.join(huge, "commit_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("file_path"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     total = seen.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
-    a, b = seen.select("commit_id", F.col("file_path").alias("file_a")), seen.select("commit_id", F.col("file_path").alias("file_b"))
-    both = a.join(b, "commit_id").where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("co_change_count"))
+    a = placed.select("commit_id", F.col("own").alias("i"), F.col("other").alias("j"), F.col("file_path").alias("file_a"))
+    b = placed.select("commit_id", F.col("other").alias("i"), F.col("own").alias("j"), F.col("file_path").alias("file_b"))
+    both = a.join(b, ["commit_id", "i", "j"]).where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("co_change_count"))
     na, nb = total.select(F.col("file_path").alias("file_a"), F.col("n").alias("na")), total.select(F.col("file_path").alias("file_b"), F.col("n").alias("nb"))
     joined = both.join(na, "file_a").join(nb, "file_b")
     return joined.select("file_a", "file_b", "co_change_count", (F.col("co_change_count") / (F.col("na") + F.col("nb") - F.col("co_change_count"))).alias("jaccard_similarity"))

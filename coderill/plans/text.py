@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from coderill.adapters import Logical
 from coderill.functions import scalars
-from coderill.operators import temporal
 from coderill.plans.registry import query
 from coderill.sources import git, tree
 
@@ -26,7 +25,8 @@ def fn_path_parts(t: Logical) -> DataFrame:
 
 @query("select page_id, sha256(html) as file_hash, len(string_split(html, chr(10))) as lines from pages")
 def src_incremental_hash(t: Logical) -> DataFrame:
-    return t.table("pages").select("page_id", F.sha2("html", 256).alias("file_hash"), temporal.root_lines(F.col("html")).alias("lines"))
+    tree.workers_see_package(t.spark)
+    return t.table("pages").select("page_id", F.sha2("html", 256).alias("file_hash"), _by_git(lambda x: git.pieces(x.encode()), "bigint")("html").alias("lines"))
 
 
 def _by_git(source, result: str):

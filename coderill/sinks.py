@@ -20,6 +20,19 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def application_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/coderill/{spark.sparkContext.applicationId}"
+    if path not in _ends_with_driver:
+        _ends_with_driver.add(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+_ends_with_driver: set[str] = set()
+
+
 def to_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV files with headers, one a partition."""
     df.write.mode("overwrite").option("header", True).csv(path)

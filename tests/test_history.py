@@ -76,10 +76,11 @@ def test_discover(repo, tmp_path):
     assert git.discover(str(tmp_path)) == [str(repo.path)] and git.discover(str(tmp_path / "none")) == [] and git.repo_name(str(repo.path)) == "sample"
 
 
-def test_root_and_patch_lines(spark):
-    df = spark.createDataFrame([("+a\n+++ b\n-c\n d\n++x",)], "p string")
-    row = df.select(temporal.patch_lines(F.col("p"), "+").alias("plus"), temporal.patch_lines(F.col("p"), "-").alias("minus"), temporal.root_lines(F.col("p")).alias("n")).first()
-    assert (row.plus, row.minus, row.n) == (2, 1, 5)
+def test_root_and_patch_lines():
+    text = b"+a\n+++ b\n-c\n d\n++x"
+    lines = text.split(b"\n")
+    assert (git.signed(lines, b"+"), git.signed(lines, b"-"), git.pieces(text), git.pieces(b""), git.pieces(b"\xff\xfe")) == (2, 1, 5, 1, 0)
+    assert [git.kind_of(x) for x in ("A", "D", "R087", "C100", "M", "T", "")] == ["A", "D", "R", "C", "M", "M", "M"]
 
 
 def test_code_age_of_one_day_has_no_rate(spark):

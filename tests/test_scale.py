@@ -72,6 +72,24 @@ def test_endpoints_in_urls_against_all_pairs(spark):
     assert got.where("path is null").count() == len(calls) - len({i for i, _, _ in like})
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_pairs_of_huge_commits(spark, block):
+    from itertools import combinations
+
+    from coderill.operators import temporal
+
+    rng = random.Random(1)
+    commits = {k: sorted({f"f{rng.randrange(25)}" for _ in range(n)}) for k, n in enumerate((1, 2, 4, 20, 9, 0, 14))}
+    rows = [(k, f, "M") for k, files in commits.items() for f in files] * 2 + [(3, "gone", "D")]
+    got = temporal.jaccard(spark.createDataFrame(rows, "commit_id int, file_path string, change_type string"), block).collect()
+    want = {}
+    for a, b in combinations(sorted({f for fs in commits.values() for f in fs}), 2):
+        both = sum(a in fs and b in fs for fs in commits.values())
+        if both:
+            want[a, b] = both, both / sum(a in fs or b in fs for fs in commits.values())
+    assert {(r.file_a, r.file_b): (r.co_change_count, r.jaccard_similarity) for r in got} == want and len(got) == len(want)
+
+
 def test_rounding_at_the_edge(spark):
     got = spark.createDataFrame([(0.5,), (1.5,), (2.5,), (-0.5,), (0.125,), (2.675,)], "x double").select("x", scalars.round_half_even(F.col("x")).alias("even"), scalars.to_fixed(F.col("x"), 0).alias("fixed"), scalars.to_fixed(F.col("x"), 2).alias("two")).collect()
     assert [r.even for r in got[:4]] == [0.0, 2.0, 2.0, 0.0] and [r.fixed for r in got[:3]] == ["1", "2", "3"]
