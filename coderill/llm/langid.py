@@ -12,10 +12,11 @@ scoring maps them into memory. So nothing of the model passes through the driver
 A text goes to the language of lowest cross-entropy per character. It is rejected if that is too far above what texts of
 the language show: the excess is scaled by its expected deviation, whose variance is one between texts (LEAST_BETWEEN
 squared at least, so that a long text may hold a foreign passage) plus one that falls with the length. Both are taken, with
-the limit, from a bounded sample of labelled documents (CALIBRATION_ROWS, a fifth at most), scored by models trained without
-that sample. The limit is twice the 99.9th percentile of those within LEAST_LIMIT deviations, and that at least, so junk that
-carries a label cannot raise it beyond 2 * LEAST_LIMIT. It is rejected, too, if it has too little evidence: if the next
-language explains the whole text in less than LEAST_MARGIN bits more.
+the limit, from all labelled documents that get their own label: these fall into FOLDS parts, copies of a text into the same
+one, and each part is scored by models trained on the others. Medians and percentiles are those of all these scores, found by
+counts in ever narrower buckets, so the scores stay on the executors. The limit is twice the 99.9th percentile of those within
+LEAST_LIMIT deviations, and that at least, so junk that carries a label cannot raise it beyond 2 * LEAST_LIMIT. It is rejected,
+too, if it has too little evidence: if the next language explains the whole text in less than LEAST_MARGIN bits more.
 
 Texts are read whole: lower case, digits as one sign, all else that is no letter as single spaces.
 
@@ -26,11 +27,11 @@ any labelled text all is rejected; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
-import io
 import math
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import application_dir, column, files, free_name, in_arrow, string_array, text_slices, workers_see_package
+from .common import application_dir, column, files, free_name, in_arrow, materialise, scratch, string_array, text_slices, workers_see_package
 from .tokens import utf8
 
 ORDER = 4
-#: Labelled documents, about, that set the deviations and the limit.
-CALIBRATION_ROWS = 4000
+#: Parts of the labelled documents, each scored by models of the others to set the deviations and the limit.
+FOLDS = 5
 #: Least limit, in robust deviations.
 LEAST_LIMIT = 12.0
 #: Least deviation, in bits per unit, between texts of one language: subjects, names and quotations make as much.
@@ -152,34 +153,37 @@ def train(keys: np.ndarray, counts: np.ndarray) -> Model:
     return Model(orders)
 
 
+_ARRAYS = (("keys", _U), ("share", np.float64), ("contexts", _U), ("weight", np.float64))
+
+
 def save(model: Model, folder: str) -> None:
-    """One array a file."""
+    """All arrays in one file behind their lengths, since a worker has the models of all folds open."""
     system, path = files(folder)
     system.create_dir(path, recursive=True)
-    top = model.orders[-1].keys
-    arrays = {"logs": np.log2(model.probability(top)).astype(np.float32)}
-    for n, o in enumerate(model.orders, 1):
-        arrays |= {f"{n}_{k}": getattr(o, k) for k in ("keys", "share", "contexts", "weight")}
-    for name, array in arrays.items():
-        with system.open_output_stream(f"{path}/{name}.npy") as f:
-            np.save(f, np.ascontiguousarray(array))
+    logs = np.log2(model.probability(model.orders[-1].keys)).astype(np.float32)
+    arrays = [np.ascontiguousarray(getattr(o, name), kind) for o in model.orders for name, kind in _ARRAYS] + [logs]
+    with system.open_output_stream(f"{path}/model") as f:
+        for array in (np.array([len(x) for x in arrays], np.int64), *arrays):
+            f.write(array.tobytes())
 
 
 def load(folder: str) -> tuple[Model, np.ndarray]:
     """The model and the log-probabilities of its grams of highest order; each worker opens a folder once."""
     if folder not in _opened:
-        if len(_opened) > 64:
+        if len(_opened) > 256:
             _opened.clear()
         system, path = files(folder)
-        local = system.type_name == "local"
-
-        def array(name: str) -> np.ndarray:
-            if local:
-                return np.load(f"{path}/{name}.npy", mmap_mode="r")
-            with system.open_input_file(f"{path}/{name}.npy") as f:
-                return np.load(io.BytesIO(f.read()))
-
-        _opened[folder] = Model([Order(*(array(f"{n}_{k}") for k in ("keys", "share", "contexts", "weight"))) for n in range(1, ORDER + 1)]), array("logs")
+        if system.type_name == "local":
+            data = np.memmap(f"{path}/model", np.uint8, "r")
+        else:
+            with system.open_input_file(f"{path}/model") as f:
+                data = np.frombuffer(f.read(), np.uint8)
+        kinds = [np.dtype(kind) for _, kind in _ARRAYS] * ORDER + [np.dtype(np.float32)]
+        at, arrays = 8 * len(kinds), []
+        for kind, n in zip(kinds, data[:at].view(np.int64).tolist(), strict=True):
+            arrays.append(np.asarray(data[at : at + n * kind.itemsize]).view(kind))
+            at += n * kind.itemsize
+        _opened[folder] = Model([Order(*arrays[k : k + len(_ARRAYS)]) for k in range(0, ORDER * len(_ARRAYS), len(_ARRAYS))]), arrays[-1]
     return _opened[folder]
 
 
@@ -233,100 +237,164 @@ class Identifier:
         return np.where(sure & (excess <= self.limit), best, -1), np.where(evidence, bits, np.nan), np.where(evidence, excess, np.inf), length
 
 
-def count_grams(df: DataFrame, text_col: str, label_col: str, held: Column) -> DataFrame:
-    """(lang, gram, n, rest) over all labelled texts, summed in each task before the one shuffle; rest is n without ``held`` texts."""
+def fold_of(text_col: str) -> Column:
+    """The part of the labelled documents that a text is in."""
+    return F.pmod(F.xxhash64(column(text_col).cast("string")), F.lit(FOLDS)).cast("int")
+
+
+def count_grams(df: DataFrame, text_col: str, label_col: str) -> DataFrame:
+    """(lang, gram, n0, n1, ...) over all labelled texts, a count a fold, summed in each task before the one shuffle."""
+    parts = [f"n{f}" for f in range(FOLDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def merge(name: str) -> None:
-            keys, at = np.unique(np.concatenate([k for k, _, _ in found[name]]), return_inverse=True)
-            found[name] = [(keys, *(np.bincount(at, np.concatenate([x[c] for x in found[name]]), len(keys)).astype(np.int64) for c in (1, 2)))]
+            keys, at = np.unique(np.concatenate([k for k, _ in found[name]]), return_inverse=True)
+            counts = np.concatenate([n for _, n in found[name]])
+            found[name] = [(keys, np.stack([np.bincount(at, counts[:, f], len(keys)).astype(np.int64) for f in range(FOLDS)], 1))]
 
         for b in batches:
-            texts, labels, out = string_array(b.column(0)), string_array(b.column(1)), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            texts, labels, folds = string_array(b.column(0)), string_array(b.column(1)), b.column(2).to_numpy().astype(np.int64)
             for lo, hi in text_slices(texts):
                 key, owner = grams(texts.slice(lo, hi - lo))
                 code = labels.slice(lo, hi - lo).dictionary_encode()
                 which = pc.fill_null(code.indices, -1).to_numpy(zero_copy_only=False)[owner]
-                rest = ~out[lo:hi][owner]
+                fold = folds[lo:hi][owner]
                 for k, name in enumerate(code.dictionary.to_pylist()):
-                    kinds, at, n = np.unique(key[which == k], return_inverse=True, return_counts=True)
-                    found.setdefault(name, []).append((kinds, n, np.bincount(at, rest[which == k], len(kinds))))
+                    kinds, at = np.unique(key[which == k], return_inverse=True)
+                    found.setdefault(name, []).append((kinds, np.bincount(at * FOLDS + fold[which == k], minlength=len(kinds) * FOLDS).reshape(-1, FOLDS)))
                     if sum(len(x[0]) for x in found[name]) > 2_000_000:
                         merge(name)
         for name in found:
             merge(name)
-            keys, counts, rests = found[name][0]
+            keys, counts = found[name][0]
             for lo in range(0, len(keys), 100_000):
-                part = keys[lo : lo + 100_000]
-                columns = [pa.array([name] * len(part)), pa.array(part.view(np.int64)), pa.array(counts[lo : lo + 100_000]), pa.array(rests[lo : lo + 100_000])]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n", "rest"])
+                part, n = keys[lo : lo + 100_000], counts[lo : lo + 100_000]
+                columns = [pa.array([name] * len(part)), pa.array(part.view(np.int64)), *(pa.array(n[:, f]) for f in range(FOLDS))]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", *parts])
 
-    labelled = df.select(column(text_col), column(label_col).cast("string"), held.alias("held")).where(column(label_col).isNotNull() & column(text_col).isNotNull())
-    return labelled.mapInArrow(run, "lang string, gram bigint, n bigint, rest bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"))
+    labelled = df.select(column(text_col), column(label_col).cast("string"), fold_of(text_col).alias("fold")).where(column(label_col).isNotNull() & column(text_col).isNotNull())
+    schema = "lang string, gram bigint, " + ", ".join(f"{n} bigint" for n in parts)
+    return labelled.mapInArrow(run, schema).groupBy("lang", "gram").agg(*(F.sum(n).alias(n) for n in parts))
 
 
-def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
-    """Count over all labelled documents, train each language in a task, and calibrate."""
+def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", calibration_rows: int | None = None) -> Identifier:
+    """Count over all labelled documents, train each language in a task, and calibrate: on all of them too, unless
+    ``calibration_rows`` asks for about so many."""
     spark = df.sparkSession
     workers_see_package(spark)
     base = f"{application_dir(spark)}/models-{uuid.uuid4().hex}"
 
-    total = df.where(column(text_col).isNotNull() & column(label_col).isNotNull()).count()
-    held = F.pmod(F.xxhash64(column(text_col).cast("string")), F.lit(max(total, 1))) < min(calibration_rows, total // 5)
-
     def one(table: pa.Table) -> pa.Table:
         keys = table.column("gram").to_numpy().view(_U)
         order = np.argsort(keys)
-        keys, counts, rests = keys[order], table.column("n").to_numpy()[order], table.column("rest").to_numpy()[order]
+        keys, parts = keys[order], [table.column(f"n{f}").to_numpy()[order] for f in range(FOLDS)]
+        counts = np.sum(parts, 0)
         # a task that is tried again writes elsewhere
         folder = f"{base}/{uuid.uuid4().hex}"
         save(train(keys, counts), folder)
-        save(train(keys[rests > 0], rests[rests > 0]), f"{folder}-rest")
+        for f, own in enumerate(parts):
+            rest = counts - own
+            save(train(keys[rest > 0], rest[rest > 0]), f"{folder}-{f}")
         return pa.table({"lang": table.column("lang").slice(0, 1), "folder": [folder]})
 
-    trained = count_grams(df, text_col, label_col, held).groupBy("lang").applyInArrow(one, "lang string, folder string").orderBy("lang").collect()
-    names, folders = [r.lang for r in trained], [r.folder for r in trained]
-    found = calibrate(Identifier(names, [f"{f}-rest" for f in folders]), df.where(held), text_col, label_col)
-    return replace(found, folders=folders)
+    trained = count_grams(df, text_col, label_col).groupBy("lang").applyInArrow(one, "lang string, folder string").orderBy("lang").collect()
+    ident = Identifier([r.lang for r in trained], [r.folder for r in trained])
+    labelled = df.where(column(text_col).isNotNull() & column(label_col).isNotNull())
+    if calibration_rows is not None:
+        labelled = labelled.where(F.pmod(F.xxhash64(column(text_col).cast("string")), F.lit(max(labelled.count(), 1))) < calibration_rows)
+    return calibrate(ident, labelled, text_col, label_col)
+
+
+def quantiles(df: DataFrame, q: float) -> dict[int, float]:
+    """The quantile of ``v`` in each group ``g``, of all rows, interpolated between neighbours.
+
+    Rows are counted in buckets, then in narrower ones inside the buckets of the ranks that are wanted, then value by value
+    inside those.
+    """
+    inside: dict[tuple[int, int], tuple[float | None, int]] = {}  # (group, rank): its bucket so far, and the rank inside
+    between: dict[int, tuple[int, int, float]] = {}
+    before = 0
+    for scale in (1 << 8, 1 << 20, 0):
+        rows = df
+        if before:
+            if not inside:
+                return {}
+            held = sorted({(g, bucket) for (g, _), (bucket, _) in inside.items()})
+            rows = df.where(reduce(lambda x, y: x | y, ((F.col("g") == g) & (F.floor(F.col("v") * before) == bucket) for g, bucket in held)))
+        key = F.floor(F.col("v") * scale) if scale else F.col("v")
+        counts: dict[tuple[int, float | None], list[tuple[float, int]]] = {}
+        for g, bucket, n in rows.groupBy("g", key.alias("bucket")).count().collect():
+            counts.setdefault((g, math.floor(bucket * before / (scale or 1)) if before else None), []).append((bucket, n))
+        if not before:
+            for g, _ in counts:
+                last = sum(n for _, n in counts[g, None]) - 1
+                lo = min(math.floor(q * last), last)
+                between[g] = lo, min(lo + 1, last), q * last - lo
+                inside |= {(g, rank): (None, rank) for rank in between[g][:2]}
+        for (g, rank), (bucket, left) in inside.items():
+            for own, n in sorted(counts[g, bucket]):
+                if left < n:
+                    inside[g, rank] = own, left
+                    break
+                left -= n
+        before = scale
+    return {g: inside[g, lo][0] + (inside[g, hi][0] - inside[g, lo][0]) * part for g, (lo, hi, part) in between.items()}
 
 
 def calibrate(ident: Identifier, df: DataFrame, text_col: str, label_col: str) -> Identifier:
-    """Means, deviations and limit from labelled documents that ``ident`` was not trained on."""
+    """Means, deviations and limit from labelled documents, each scored by the models that were trained without its fold."""
     n_lang = len(ident.languages)
     ident.mean, ident.variance = np.full(n_lang, math.log2(VOCABULARY)), np.ones((n_lang, 2))
     if not n_lang:
         return ident
-    labelled = df.select(column(text_col).alias("text"), column(label_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    shared = df.sparkSession.sparkContext.broadcast(ident)
+    spark = df.sparkSession
+    labelled = df.select(column(text_col).alias("text"), column(label_col).cast("string").alias("lang"), fold_of(text_col).alias("fold"))
+    shared = spark.sparkContext.broadcast([Identifier(ident.languages, [f"{x}-{f}" for x in ident.folders]) for f in range(FOLDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            entropy, length = shared.value.entropies(string_array(b.column(0)))
-            best = entropy.argmin(1)
-            names = np.array(shared.value.languages)[best]
-            columns = [pa.array(names == b.column(1).to_numpy(zero_copy_only=False)), pa.array(best), pa.array(entropy.min(1)), pa.array(length)]
-            yield pa.RecordBatch.from_arrays(columns, names=["right", "best", "bits", "length"])
-
-    got = labelled.mapInArrow(run, "right boolean, best bigint, bits double, length bigint").where("right and length > 0").toPandas()
-    seen = []
-    for k in range(n_lang):
-        own = got[got["best"] == k].sort_values(["length", "bits"])
-        if len(own) < 5:
-            continue
-        bits, length = own["bits"].to_numpy(), own["length"].to_numpy()
-        ident.mean[k] = np.median(bits[len(bits) // 2 :])
+            texts, folds = string_array(b.column(0)), b.column(2).to_numpy()
+            labels = pc.fill_null(pc.index_in(string_array(b.column(1)), pa.array(ident.languages, pa.string())), -1).to_numpy()
+            for f, part in enumerate(shared.value):
+                own = np.flatnonzero(folds == f)
+                entropy, length = part.entropies(texts.take(pa.array(own)))
+                best = entropy.argmin(1)
+                right = (best == labels[own]) & (length > 0)
+                length = length[right]
+                columns = [pa.array(best[right].astype(np.int32)), pa.array(entropy.min(1)[right]), pa.array(length), pa.array(np.log2(length))]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "bits", "length", "size"])
+
+    def of(values: dict[int, float]) -> Column:
+        """The value of a row's language."""
+        return F.get(F.array(*(F.lit(float(values.get(k, 0))) for k in range(n_lang))), F.col("k"))
+
+    with scratch(spark):
+        got = materialise(labelled.mapInArrow(run, "k int, bits double, length bigint, size double"), "calibration")
+        cut = quantiles(got.select(F.col("k").alias("g"), F.col("size").alias("v")), 0.5)
+        below, above = F.col("size") < of(cut), F.col("size") > of(cut)
+        sides = {r.k: r for r in got.groupBy("k").agg(F.count("*").alias("n"), F.count_if(below).alias("below"), F.count_if(above).alias("above")).collect()}
+        seen = sorted(k for k, r in sides.items() if r.n >= 5)
+        if not seen:
+            return ident
+        # the shorter half, and the longer one, which has the texts of median length, unless these are the shortest
+        cut = {k: math.nextafter(x, math.inf) if sides[k].above and not sides[k].below else x for k, x in cut.items()}
+        halves = got.where(F.col("k").isin(seen)).withColumn("long", (F.col("size") >= of(cut)).cast("int"))
+        mean = quantiles(halves.where("long = 1").select(F.col("k").alias("g"), F.col("bits").alias("v")), 0.5)
         # robust variances of the shorter and of the longer half; their difference is due to length
-        halves = [slice(0, len(bits) // 2), slice(len(bits) // 2, None)]
-        spread = [(1.4826 * float(np.median(np.abs(bits[h] - ident.mean[k])))) ** 2 for h in halves]
-        inverse = [float(np.mean(1 / length[h])) for h in halves]
-        within = max(0.0, (spread[0] - spread[1]) / (inverse[0] - inverse[1])) if inverse[0] > inverse[1] else 0.0
-        ident.variance[k] = max(spread[1] - within * inverse[1], LEAST_BETWEEN**2), within
-        seen.append(ident.excess(np.full(len(bits), k), bits, length))
-    if seen:
-        near = np.concatenate(seen)
-        ident.limit = max(LEAST_LIMIT, 2 * float(np.quantile(near[near <= LEAST_LIMIT], 0.999)))
+        far = quantiles(halves.select((2 * F.col("k") + F.col("long")).alias("g"), F.abs(F.col("bits") - of(mean)).alias("v")), 0.5)
+        # whole numbers, whose sum needs no order
+        inverses = halves.groupBy("k", "long").agg(F.count("*").alias("n"), F.sum(F.round(F.lit(2.0**40) / F.col("length")).cast("decimal(38,0)")).alias("s")).collect()
+        inverse = {(r.k, r.long): int(r.s) / r.n / 2**40 for r in inverses}
+        for k in seen:
+            spread = {half: (1.4826 * far[2 * k + half]) ** 2 for half in (0, 1) if 2 * k + half in far}
+            within = max(0.0, (spread[0] - spread[1]) / (inverse[k, 0] - inverse[k, 1])) if 0 in spread and inverse[k, 0] > inverse[k, 1] else 0.0
+            ident.mean[k], ident.variance[k] = mean[k], (max(spread[1] - within * inverse[k, 1], LEAST_BETWEEN**2), within)
+        between, within = (of(dict(enumerate(x))) for x in ident.variance.T)
+        excess = (F.col("bits") - of(mean)) / F.sqrt(between + within / F.col("length"))
+        near = quantiles(halves.select(F.lit(0).alias("g"), excess.alias("v")).where(F.col("v") <= LEAST_LIMIT), 0.999)
+        ident.limit = max(LEAST_LIMIT, 2 * near[0])
     return ident
 
 
