@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from coderill.llm import langid
 
 SYLLABLES = {"aa": ["ka", "mo", "ti", "ru", "sel"], "bb": ["she", "lin", "dor", "ve", "kas"]}
@@ -73,6 +74,21 @@ def test_every_labelled_document_sets_the_thresholds(docs):
     same(langid.fit(docs), docs)
 
 
+def test_every_labelled_document_sets_the_thresholds_of_the_stage(spark, docs, monkeypatch):
+    """The pipeline's stage decides by the same thresholds, and keeps what is within them."""
+    used = []
+    decide = langid.keep_identified
+    monkeypatch.setattr(langid, "keep_identified", lambda df, ident, *more: used.append(ident) or decide(df, ident, *more))
+    odd = spark.createDataFrame([(400, "".join(random.Random(1).choice("qxzjw") for _ in range(300)), None)], docs.schema)
+    table = docs.unionByName(odd)
+    kept = corpus_pipeline.language_id(spark, table, "").collect()
+    same(used[0], table)
+    rows = table.collect()
+    accepted = used[0].decide(pa.array([r.text for r in rows], pa.string()))[0] >= 0
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(r.doc_id) for r, ok in zip(rows, accepted, strict=True) if ok)
+    assert len(kept) >= 230 and not {r.doc_id for r in kept} & {301, 302, 400}
+
+
 def test_quantiles_of_all_rows(spark):
     rng = np.random.default_rng(2)
     groups = {0: rng.normal(-3, 40, 4001), 1: np.repeat([0.0, 1.0, -2.5], [7, 2, 1]), 2: np.array([4.25]), 5: 2 + rng.random(1000) * 1e-7, 7: np.array([-1e-9, 1e-9])}
