@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from coderill.llm import langid
+from coderill.llm import langid, weakrules
 
 SYLLABLES = {"aa": ["ka", "mo", "ti", "ru", "sel"], "bb": ["she", "lin", "dor", "ve", "kas"]}
 
@@ -89,6 +89,28 @@ def test_every_labelled_document_sets_the_thresholds_of_the_stage(spark, docs, m
     assert len(kept) >= 230 and not {r.doc_id for r in kept} & {301, 302, 400}
 
 
+def test_stages_fit_on_more_documents_than_a_sample_would_hold(spark, monkeypatch):
+    """The two stages of the pipeline that fit something, over 6500 documents: a sample of 4000, as there once was, has other figures."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(6500):
+        lang = rng.choice(list(SYLLABLES))
+        noise = rng.choice([0, 0, 0.05, 0.2])
+        words = [word(rng, lang) if rng.random() >= noise else "".join(rng.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(rng.choice([6, 12, 30]))]
+        rows.append((k, ("| " if k % 50 == 0 else " ").join(words), lang))
+    table = spark.createDataFrame([*rows, (7000, None, "aa")], "doc_id bigint, text string, lang string").repartition(3).cache()
+    fitted, used = [], []
+    em, decide = weakrules.fit, langid.keep_identified
+    monkeypatch.setattr(weakrules, "fit", lambda *histogram: fitted.append(histogram) or em(*histogram))
+    monkeypatch.setattr(langid, "keep_identified", lambda df, ident, *more: used.append(ident) or decide(df, ident, *more))
+    good = corpus_pipeline.quality_rules(spark, table, "").cache()
+    corpus_pipeline.language_id(spark, good, "")
+    patterns, counts = np.unique(weakrules.patterns_of(pa.array([r[1] for r in rows])), return_counts=True)
+    np.testing.assert_array_equal(fitted[0], [patterns, counts])
+    assert len(patterns) > 3 and good.count() > 6000
+    same(used[0], good)
+
+
 def test_quantiles_of_all_rows(spark):
     rng = np.random.default_rng(2)
     groups = {0: rng.normal(-3, 40, 4001), 1: np.repeat([0.0, 1.0, -2.5], [7, 2, 1]), 2: np.array([4.25]), 5: 2 + rng.random(1000) * 1e-7, 7: np.array([-1e-9, 1e-9])}
