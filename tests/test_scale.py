@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coderill.functions import scalars
-from coderill.operators import crosslang, graph
+from coderill.operators import crosslang, ecosystem, graph
 from coderill.sources import git as history
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -142,3 +142,51 @@ def test_entry_swallows_no_other_import_error():
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
     if (ROOT / "coderill/llm").exists():
         assert done.stdout.startswith("raised"), done.stdout + done.stderr
+
+
+def _dependencies(spark, repeated: bool):
+    rng = random.Random(5)
+    versions = ["==1.0", "==01.2", "==1.0", "==2", "dev", "beta", "", None, "==" + "9" * 50]
+    rows = [(k // 2 if repeated and k % 7 == 0 else k, f"m{k % 3}", rng.choice(["p", "q", "r", None]), rng.choice(versions)) for k in range(240)]
+    return spark.createDataFrame(rows, "id bigint, manifest_file string, package_name string, version_spec string"), rows
+
+
+def _pairs(rows):
+    import re
+
+    number = lambda v: (m := re.search(r"\d+", v)) and int(m[0])
+    found = []
+    for i, m, p, v in rows:
+        for j, o, q, u in rows:
+            if p and p == q and i < j and v and u and v != u:
+                major = number(v) is not None and number(u) is not None and number(v) != number(u)
+                found.append((p, i, j, v, u, m, o, "major_version_diff" if major else "version_mismatch"))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_conflicts_in_blocks_against_all_pairs(spark, repeated):
+    deps, rows = _dependencies(spark, repeated)
+    want = _pairs(rows)
+    found = ecosystem.conflicts(deps, block=8, task_pairs=200)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 1500
+    assert found.rdd.getNumPartitions() > 10  # one package does not go to one task
+    ordered = [tuple(r) for r in ecosystem.conflicts(deps, ordered=True, block=8, task_pairs=200).collect()]
+    assert sorted(ordered) == want
+    at = [(r[7] != "version_mismatch", *r[:3]) for r in ordered]
+    assert at == sorted(at)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_conflicts_are_counted_without_pairs(spark, repeated):
+    from collections import Counter
+
+    deps, rows = _dependencies(spark, repeated)
+    found = ecosystem.conflict_counts(deps)
+    assert {r.conflict_type: r.n for r in found.collect()} == Counter(r[7] for r in _pairs(rows))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+    # a package of two million declarations has 1.75e12 pairs
+    many = spark.range(2_000_000).selectExpr("id", "'f' as manifest_file", "'p' as package_name", "concat('==', id % 8, '.0') as version_spec")
+    assert [tuple(r) for r in ecosystem.conflict_counts(many).collect()] == [("major_version_diff", 2_000_000 * 1_750_000 // 2)]
+    assert ecosystem.conflict_counts(many.where("false")).count() == 0
