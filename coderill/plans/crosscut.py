@@ -196,7 +196,7 @@ def q_version_conflicts(t: Logical) -> DataFrame:
 
 @query("select conflict_type, count(*) as n from vw_conflicts group by 1")
 def prj_conflict_type(t: Logical) -> DataFrame:
-    return ecosystem.conflicts(t.dependencies).groupBy("conflict_type").agg(F.count(F.lit(1)).alias("n"))
+    return ecosystem.conflict_counts(t.dependencies)
 
 
 @query("select * from vw_conflicts order by conflict_type desc, package_name, id1, id2")
