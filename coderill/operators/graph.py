@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coderill.operators.resolve import resolve_first
+from coderill.operators.placing import meet, tasks
+from coderill.operators.resolve import first_targets, imported_pairs, known_targets, resolve_first
 from coderill.sinks import application_folder
 from coderill.sources.tree import workers_see_package
 
@@ -23,12 +24,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
 FEW_BYTES = 64 << 20
 
 
-def edges(imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """Distinct (src, dst) paths of modules where one imports the other; self-imports left out."""
-    met = resolve_first(imports, modules)
+def linked(met: DataFrame, modules: DataFrame, n: int) -> DataFrame:
+    """Distinct (src, dst) paths of pairs (from_module_id, module_id)."""
     src = modules.select(F.col("id").alias("from_module_id"), F.col("path").alias("src"))
     dst = modules.select(F.col("id").alias("module_id"), F.col("path").alias("dst"))
-    return met.join(src, "from_module_id").join(dst, "module_id").where("src <> dst").select("src", "dst").distinct()
+    pairs = met.repartition(n, "from_module_id").distinct().join(src.repartition(n, "from_module_id").hint("merge"), "from_module_id")
+    return meet(pairs, dst, "module_id", n).select("src", "dst").repartition(n, "src", "dst").distinct()
+
+
+def edges(imports: DataFrame, modules: DataFrame, rows: bool = False) -> DataFrame:
+    """Distinct (src, dst) paths of modules where one imports the other; self-imports left out. ``rows`` as in resolve_first."""
+    n = tasks(imports, modules)
+    met = imported_pairs(imports, first_targets(modules), n) if rows else resolve_first(imports, modules).select("from_module_id", "module_id")
+    return linked(met.where("from_module_id <> module_id"), modules, n).where("src <> dst")
+
+
+def imported(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """Distinct (src, dst) paths of modules and of all that they import, by name or path; both ways round."""
+    n = tasks(imports, modules)
+    one = linked(imported_pairs(imports, known_targets(modules), n), modules, n)
+    ways = F.array(F.struct(F.col("src").alias("x"), F.col("dst").alias("y")), F.struct(F.col("dst").alias("x"), F.col("src").alias("y")))
+    return one.select(F.explode(ways).alias("w")).select("w.x", "w.y")
 
 
 def _trim(e: DataFrame) -> DataFrame:

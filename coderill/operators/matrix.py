@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coderill.functions.scalars import directory
+from coderill.operators.placing import meet, tasks
 from coderill.operators.resolve import resolve_tiered
 from coderill.operators.temporal import live
 
@@ -17,12 +18,13 @@ def index(files: DataFrame, depth: int = 1) -> DataFrame:
     The numbers are counted in two steps, so that no task sees all files: places within each directory, and a running sum of
     the directories' sizes.
     """
+    n = tasks(files)
     own = files.select("path").distinct().withColumn("dir", directory(F.col("path"), depth))
     sizes = own.groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.orderBy("dir").rowsBetween(W.unboundedPreceding, -1))
     starts = sizes.select("dir", F.coalesce(before, F.lit(0)).alias("start"))
     place = F.row_number().over(W.partitionBy("dir").orderBy("path")) - 1
-    return own.withColumn("place", place).join(starts, "dir").select("path", "dir", (F.col("start") + F.col("place")).cast("bigint").alias("idx"))
+    return own.repartition(n, "dir").withColumn("place", place).join(starts.repartition(n, "dir").hint("merge"), "dir").select("path", "dir", (F.col("start") + F.col("place")).cast("bigint").alias("idx"))
 
 
 def ranges(indexed: DataFrame) -> DataFrame:
@@ -37,10 +39,11 @@ def _cells(pairs: DataFrame, indexed: DataFrame, a: str, b: str) -> DataFrame:
 
 def structural(imports: DataFrame, modules: DataFrame, depth: int = 1) -> DataFrame:
     """(row, col, value): imports of one module by another, self-imports left out."""
-    met = resolve_tiered(imports, modules)
-    src, dst = modules.select(F.col("id").alias("from_module_id"), F.col("path").alias("a")), modules.select(F.col("id").alias("module_id"), F.col("path").alias("b"))
-    counted = met.join(src, "from_module_id").join(dst, "module_id").where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("value"))
-    return _cells(counted, index(modules.select("path"), depth), "a", "b")
+    n = tasks(imports, modules)
+    placed = meet(modules.select("id", "path"), index(modules.select("path"), depth), "path", tasks(modules)).select("id", "idx")
+    rows, cols = placed.select(F.col("id").alias("from_module_id"), F.col("idx").alias("row")), placed.select(F.col("id").alias("module_id"), F.col("idx").alias("col"))
+    met = meet(meet(resolve_tiered(imports, modules), rows, "from_module_id", n), cols, "module_id", n).where("row <> col")
+    return met.repartition(n, "row", "col").groupBy("row", "col").agg(F.sum("n").alias("value"))
 
 
 def temporal(pairs: DataFrame, changes: DataFrame, least: float = 0.1, depth: int = 1) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coderill.functions.scalars import exact_mean, flag, share
-from coderill.operators.resolve import resolve_any
+from coderill.operators.placing import tasks
+from coderill.operators.resolve import imported_pairs, known_targets
 
 BINS = (("1-5", 1, 5), ("6-10", 6, 10), ("11-15", 11, 15), ("16-20", 16, 20), ("21+", 21, None))
 
@@ -17,7 +18,9 @@ def _named(modules: DataFrame) -> DataFrame:
 
 def afferent(modules: DataFrame, imports: DataFrame) -> DataFrame:
     """Distinct modules that import each module."""
-    met = resolve_any(imports, modules).groupBy("module_id").agg(F.countDistinct("from_module_id").alias("ca"))
+    n = tasks(imports, modules)
+    met = imported_pairs(imports, known_targets(modules), n).repartition(n, "module_id", "from_module_id").distinct()
+    met = met.groupBy("module_id").agg(F.count("from_module_id").alias("ca"))
     return _named(modules).join(met, "module_id", "left").select("module_id", "path", F.coalesce("ca", F.lit(0)).cast("bigint").alias("ca"))
 
 

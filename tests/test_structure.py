@@ -116,3 +116,35 @@ def test_matrix_is_symmetric(spark):
     assert cells == {(1, 2, 0.5), (2, 1, 0.5)}
     index = matrix.index(changes.where("change_type <> 'D'").selectExpr("file_path as path"))
     assert {tuple(r) for r in matrix.ranges(index).collect()} == {(".", 0, 1, 1), ("a", 1, 2, 1), ("b", 2, 3, 1)}
+
+
+def test_imports_whose_ids_repeat(spark):
+    modules, _ = cycle(spark)
+    rows = [(1, 1, "module_c"), (1, 1, "module_b.py"), (1, 1, "module_b"), (1, 1, "module_b"), (2, 2, "module_c"), (2, 1, "module_a"), (3, 1, None)]
+    imports = spark.createDataFrame(rows, IMPORTS)
+    # rows of one id and module are one import, which has one module
+    assert sorted(map(tuple, resolve.resolve_first(imports, modules).collect())) == [(1, 1, 2), (2, 1, 1), (2, 2, 3)]
+    assert sorted(r.module_id for r in resolve.resolve_first(imports, modules, rows=True).collect()) == [1, 2, 2, 2, 3, 3]
+    assert resolve.resolve_any(imports, modules).count() == 5 and resolve.resolve_any(imports, modules, rows=True).count() == 6
+    found = lambda rows: {tuple(r) for r in graph.edges(imports, modules, rows).collect()}
+    assert found(False) == {("module_a.py", "module_b.py"), ("module_b.py", "module_c.py")}
+    assert found(True) == found(False) | {("module_a.py", "module_c.py")}
+    both = sorted(map(tuple, graph.imported(imports, modules).collect()))
+    one = [("module_a.py", x) for x in ("module_a.py", "module_b.py", "module_c.py")] + [("module_b.py", "module_c.py")]
+    assert both == sorted(one + [(b, a) for a, b in one])
+    assert {r.path: r.ca for r in structural.afferent(modules, imports).collect()} == {"module_a.py": 1, "module_b.py": 1, "module_c.py": 2}
+
+
+def test_nothing_is_broadcast_that_is_larger_than_it_looks(spark, tmp_path):
+    from coderill.operators.placing import file_bytes, tasks
+
+    # one long path a module: its endings are 400 times the rows, in files of a few kB
+    modules = spark.range(200).selectExpr("id", "1L as language_id", "concat('p', id, repeat('/d', 200), '.py') as path", "concat('n', id) as name")
+    modules.write.parquet(str(tmp_path / "modules"))
+    modules = spark.read.parquet(str(tmp_path / "modules"))
+    imports = spark.range(400).selectExpr("id", "id % 200 as from_module_id", "concat('d', repeat('/d', id % 3), '.py') as to_module")
+    for found in (resolve.resolve_tiered(imports, modules), matrix.structural(imports, modules), resolve.resolve_any(imports, modules), graph.edges(imports, modules, True)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.module_id for r in resolve.resolve_tiered(imports, modules).collect()} == {0}
+    assert 0 < file_bytes(modules) < 1 << 20 and tasks(modules) == 1 and tasks(spark.range(10_000_000)) == 1 + 80_000_000 // (4 << 20)
+    assert tasks(spark.createDataFrame([(1,)], "x int").localCheckpoint()) == 4
