@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coderill.functions.scalars import monday_week
+from coderill.operators.placing import meet, tasks
 from coderill.operators.temporal import live
 
 
@@ -25,8 +26,9 @@ def latest_weeks(commits: DataFrame, n: int = 52) -> DataFrame:
 def active_areas(changes: DataFrame, commits: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """Files that were touched in the last ``days``: distinct commits and the last one."""
     recent = commits.where(F.col("timestamp") >= as_of - F.expr(f"interval {days} days")).select(F.col("id").alias("commit_id"), "timestamp")
-    by_commit = changes.join(recent, "commit_id").groupBy("commit_id", "file_path").agg(F.first("timestamp").alias("at"))
-    return by_commit.groupBy("file_path").agg(F.count(F.lit(1)).alias("recent_commits"), F.max("at").alias("last_commit"))
+    touched = changes.select("commit_id", "file_path")
+    by_commit = meet(touched, recent, "commit_id", tasks(changes, commits)).groupBy("commit_id", "file_path").agg(F.max("timestamp").alias("at"))
+    return by_commit.groupBy("file_path").agg(F.count("commit_id").alias("recent_commits"), F.max("at").alias("last_commit"))
 
 
 def commit_stats(commits: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from coderill.functions.scalars import days_between, month
+from coderill.operators.placing import meet, tasks
 
 #: Files of a commit of which one task makes all pairs.
 COMMIT_BLOCK = 512
@@ -31,27 +32,46 @@ def first_seen_authors(commits: DataFrame, position: str) -> DataFrame:
     return commits.groupBy(F.col("author_email").alias("email")).agg(first).select(F.col("seen.author_name").alias("name"), "email")
 
 
+def _dated(changes: DataFrame, commits: DataFrame, n: int, *others: str) -> DataFrame:
+    """``_of_commits`` in ``n`` tasks by commit."""
+    dates = commits.select(F.col("id").alias("commit_id"), *others)
+    return meet(changes, dates, "commit_id", n)
+
+
 def churn(changes: DataFrame, commits: DataFrame) -> DataFrame:
     """By file: commits, lines, first and last commit, authors."""
-    # grouping by commit first keeps to the join's partitioning and leaves one distinct count only
-    by_commit = _of_commits(live(changes), commits).groupBy("commit_id", "file_path").agg(
-        F.sum("lines_added").alias("plus"), F.sum("lines_deleted").alias("minus"), F.first("author_email").alias("email"), F.first("timestamp").alias("at")
+    n = tasks(changes, commits)
+    plus, minus = F.sum("plus"), F.sum("minus")
+    # commits first, which keeps to the join's partitioning, then authors: no distinct count is left, and no text is aggregated
+    by_commit = _dated(live(changes), commits, n, "author_email", "timestamp").groupBy("commit_id", "file_path", F.col("author_email").alias("email"), "timestamp").agg(F.sum("lines_added").alias("plus"), F.sum("lines_deleted").alias("minus"))
+    # a commit that is there under two authors counts once
+    once = F.row_number().over(W.partitionBy("commit_id", "file_path").orderBy("email", "timestamp")) == 1
+    by_author = by_commit.withColumn("once", F.when(once, F.lit(1))).repartition(n, "file_path", "email").groupBy("file_path", "email").agg(
+        F.count("once").alias("commits"), plus.alias("plus"), minus.alias("minus"), F.sum(F.col("plus") + F.col("minus")).alias("both"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
     )
-    return by_commit.groupBy("file_path").agg(
-        F.count(F.lit(1)).alias("total_commits"), F.sum("plus").alias("total_lines_added"), F.sum("minus").alias("total_lines_deleted"), F.sum(F.col("plus") + F.col("minus")).alias("total_churn"),
-        F.min("at").alias("first_commit"), F.max("at").alias("last_commit"), F.countDistinct("email").alias("author_count"),
+    return by_author.groupBy("file_path").agg(
+        F.sum("commits").alias("total_commits"), plus.alias("total_lines_added"), minus.alias("total_lines_deleted"), F.sum("both").alias("total_churn"),
+        F.min("first").alias("first_commit"), F.max("last").alias("last_commit"), F.count("email").alias("author_count"),
     )
 
 
 def author_stats(authors: DataFrame, commits: DataFrame, changes: DataFrame) -> DataFrame:
-    """By author: commits (also those without files), distinct files, lines (null without changes), first and last commit."""
-    theirs = authors.select("name", "email").join(commits.select(F.col("id").alias("commit_id"), F.col("author_email").alias("email"), "timestamp"), "email")
-    by_file = theirs.join(changes, "commit_id", "left").groupBy("email", "name", "file_path", "commit_id").agg(
-        F.sum("lines_added").alias("plus"), F.sum("lines_deleted").alias("minus"), F.first("timestamp").alias("at")
-    )
-    return by_file.groupBy("name", "email").agg(
-        F.countDistinct("commit_id").alias("total_commits"), F.countDistinct("file_path").alias("files_touched"), F.sum("plus").alias("lines_added"), F.sum("minus").alias("lines_deleted"),
-        F.min("at").alias("first_commit"), F.max("at").alias("last_commit"),
+    """By author: commits (also those without files), distinct files, lines (null without changes), first and last commit.
+
+    Commits are counted without their files, and files by author and file, so that nothing is counted distinct twice at once.
+    """
+    n = tasks(authors, commits, changes)
+    made = commits.select("id", F.col("author_email").alias("email"), "timestamp").where("author_email is not null")
+    by_id = made.repartition(n, "email").groupBy("email", "id").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    own = by_id.groupBy("email").agg(F.count("id").alias("total_commits"), F.min("first").alias("first_commit"), F.max("last").alias("last_commit"))
+    theirs = _dated(changes, commits.where("author_email is not null"), n, F.col("author_email").alias("email")).repartition(n, "email", "file_path")
+    by_file = theirs.groupBy("email", "file_path").agg(F.sum("lines_added").alias("plus"), F.sum("lines_deleted").alias("minus"))
+    touched = by_file.repartition(n, "email").groupBy("email").agg(F.count("file_path").alias("files_touched"), F.sum("plus").alias("plus"), F.sum("minus").alias("minus"))
+    # an author who is there several times has his lines as often
+    known = authors.where("email is not null").repartition(n, "email").groupBy("email", "name").agg(F.count(F.lit(1)).alias("times"))
+    return known.join(own.hint("merge"), "email").join(touched.hint("merge"), "email", "left").select(
+        "name", "email", "total_commits", F.coalesce("files_touched", F.lit(0)).cast("bigint").alias("files_touched"), (F.col("plus") * F.col("times")).alias("lines_added"), (F.col("minus") * F.col("times")).alias("lines_deleted"),
+        "first_commit", "last_commit",
     )
 
 
@@ -109,11 +129,11 @@ def code_age(churned: DataFrame, as_of: Column) -> DataFrame:
 
 def ownership(changes: DataFrame, commits: DataFrame, authors: DataFrame) -> DataFrame:
     """By author and file: distinct commits and lines added."""
-    theirs = _of_commits(live(changes), commits).groupBy("commit_id", "author_email", "file_path").agg(F.sum("lines_added").alias("plus"))
-    counted = theirs.groupBy("author_email", "file_path").agg(F.count(F.lit(1)).alias("commit_count"), F.sum("plus").alias("lines_contributed"))
-    return counted.join(authors.select(F.col("email").alias("author_email"), F.col("id").alias("author_id"), F.col("name").alias("author_name")), "author_email").select(
-        "author_id", "author_name", "file_path", "commit_count", "lines_contributed"
-    )
+    n = tasks(changes, commits, authors)
+    who = authors.select(F.col("email").alias("author_email"), F.col("id").alias("author_id"), F.col("name").alias("author_name"))
+    made = meet(commits.select("id", "author_email"), who, "author_email", n)
+    theirs = _dated(live(changes), made, n, "author_id", "author_name").groupBy("commit_id", "author_id", "author_name", "file_path").agg(F.sum("lines_added").alias("plus"))
+    return theirs.repartition(n, "author_id", "author_name", "file_path").groupBy("author_id", "author_name", "file_path").agg(F.count("commit_id").alias("commit_count"), F.sum("plus").alias("lines_contributed"))
 
 
 def _scalar(df: DataFrame, *aggregates: Column) -> DataFrame:

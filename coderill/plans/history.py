@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from coderill.adapters import AS_OF, Logical
 from coderill.functions import scalars
 from coderill.operators import activity, temporal
+from coderill.operators.placing import sorted_in, tasks
 from coderill.plans.registry import SHARED, query
 
 
@@ -215,7 +216,8 @@ def srt_authors(t: Logical) -> DataFrame:
 
 @query("select a.name as author_name, d.f as file_path, count(distinct commit_id) as commit_count from vw_dated d join lg_authors a on a.email = d.email group by 1, 2 order by 3 desc, 1, 2")
 def srt_ownership(t: Logical) -> DataFrame:
-    return temporal.ownership(t.changes, t.commits, t.authors).select("author_name", "file_path", "commit_count").orderBy(F.desc("commit_count"), "author_name", "file_path")
+    found = temporal.ownership(t.changes, t.commits, t.authors).select("author_name", "file_path", "commit_count")
+    return sorted_in(found, tasks(found), F.desc("commit_count"), F.col("author_name"), F.col("file_path"))
 
 
 @query("select file_path, days_since_last_change from vw_age order by 2 desc, 1")

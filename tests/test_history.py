@@ -87,3 +87,41 @@ def test_code_age_of_one_day_has_no_rate(spark):
     churned = spark.sql("select 'f' as file_path, timestamp '2024-01-01' as first_commit, timestamp '2024-01-01' as last_commit, 1 as total_commits")
     row = temporal.code_age(churned, F.expr("timestamp '2024-01-11 12:00:00'")).first()
     assert row.days_since_last_change == 10.5 and row.commits_per_month is None
+
+
+def test_statistics_of_commits_and_authors_that_repeat(spark):
+    from pyspark.sql import functions as F
+
+    from coderill.operators import activity, temporal
+
+    commits = spark.createDataFrame([(1, "A", "a", 1), (1, "A", "a", 1), (1, "B", "b", 5), (2, "A", "a", 3), (3, "C", None, 9), (4, "A", "a", 0)], "id long, author_name string, author_email string, t long").withColumn("timestamp", F.timestamp_seconds("t"))
+    authors = spark.createDataFrame([(1, "A", "a"), (1, "A", "a"), (2, "B", "b"), (3, "C", None), (4, "D", "d")], "id long, name string, email string")
+    changes = spark.createDataFrame([(1, "x", 10, 1, "M"), (1, "x", 5, 0, "A"), (2, "x", 7, 2, "M"), (2, "y", 1, 1, "D"), (3, "x", 2, 2, "M"), (None, "x", 1, 1, "M")], "commit_id long, file_path string, lines_added long, lines_deleted long, change_type string")
+    seconds = lambda c: F.unix_seconds(c)
+    got = temporal.churn(changes, commits)
+    assert [tuple(r) for r in got.withColumns({"first_commit": seconds("first_commit"), "last_commit": seconds("last_commit")}).collect()] == [("x", 3, 54, 7, 61, 1, 9, 2)]
+    stats = temporal.author_stats(authors, commits, changes)
+    assert sorted(map(tuple, stats.withColumns({"first_commit": seconds("first_commit"), "last_commit": seconds("last_commit")}).collect())) == [("A", "a", 3, 2, 76, 10, 0, 3), ("B", "b", 1, 1, 15, 1, 5, 5)]
+    assert sorted(map(tuple, temporal.ownership(changes, commits, authors).collect())) == [(1, "A", "x", 2, 74), (2, "B", "x", 1, 15)]
+    areas = activity.active_areas(changes, commits, F.timestamp_seconds(F.lit(9)))
+    assert [(r.file_path, r.recent_commits) for r in areas.orderBy("file_path").collect()] == [("x", 3), ("y", 1)]
+
+
+def test_tasks_of_history_grow_with_its_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from coderill.operators import activity, temporal
+    from coderill.operators.placing import tasks
+
+    spark.range(2_500_000).selectExpr("id % 500000 as commit_id", "concat('f', id % 40) as file_path", "xxhash64(id) as lines_added", "1L as lines_deleted", "'M' as change_type").write.parquet(str(tmp_path / "changes"))
+    spark.range(500_000).selectExpr("id", "concat('n', id % 900) as author_name", "concat('e', id % 900) as author_email", "timestamp_seconds(id) as timestamp").write.parquet(str(tmp_path / "commits"))
+    changes, commits = (spark.read.parquet(str(tmp_path / x)) for x in ("changes", "commits"))
+    authors = commits.selectExpr("id", "author_name as name", "author_email as email").where("id < 900")
+    n = tasks(changes, commits)
+    assert n > 4  # the session has 4 partitions
+    found = temporal.churn(changes, commits), temporal.author_stats(authors, commits, changes), temporal.ownership(changes, commits, authors), activity.active_areas(changes, commits, F.timestamp_seconds(F.lit(400_000)))
+    for df, least in zip(found, (n, n, n, n), strict=True):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        large = [int(x) for x in __import__("re").findall(r"hashpartitioning\(commit_id#\d+L?, (\d+)\)", plan)]
+        assert large and min(large) >= least, plan
+        assert "Expand" not in plan and "first(" not in plan
