@@ -1,10 +1,11 @@
-"""Cycles of imports: strongly connected components, in one task while the edges are few, else by joins."""
+"""Cycles of imports: strongly connected components, each weak component in one task while its edges are few, else by joins."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coderill.operators.placing import meet, tasks
@@ -20,8 +21,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bytes of edges that one task holds at most.
-FEW_BYTES = 64 << 20
+#: Bytes of edges that one task holds at most, and that it holds on average where there are more.
+FEW_BYTES, SHARE_BYTES = 64 << 20, 4 << 20
 
 
 def linked(met: DataFrame, modules: DataFrame, n: int) -> DataFrame:
@@ -94,15 +95,38 @@ def tarjan(src: list[str], dst: list[str]) -> list[tuple[str, str]]:
     return found
 
 
+def weak_labels(pairs: DataFrame, n: int) -> DataFrame:
+    """(node, label): nodes of one label are those that the pairs (a, b) of numbers join, whichever way.
+
+    Large and small stars by turns (Kiveris and others, 2014): each node's neighbours are hung on its least one, so the rounds grow
+    with the logarithm of the longest way, and there are never more pairs than at first.
+    """
+    least = F.least("u", F.min("v").over(W.partitionBy("u"))).alias("m")
+    e, before = pairs.select("a", "b").where("a <> b"), None
+    while True:
+        ways = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+        stars = e.select(ways.alias("w")).select("w.u", "w.v").repartition(n, "u").distinct().select("u", "v", least)
+        large = stars.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = large.repartition(n, "u").distinct().select("u", "v", least)
+        hung = F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b"))))
+        small = stars.select(hung.alias("w")).select("w.a", "w.b").where("a <> b")
+        e = written(small.repartition(n, "a").distinct(), "stars")
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_if(F.col("b") > F.col("a"))).first()
+        if now == before:
+            break
+        before = now
+    return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+
 def components(e: DataFrame, few_bytes: int = FEW_BYTES) -> DataFrame:
     """(node, component) of all nodes on a cycle; the component is its least node.
 
-    Edges of a counted size up to ``few_bytes`` go to one task, which goes through them once; more are coloured by joins.
+    Edges of a counted size up to ``few_bytes`` go to one task, which goes through them once. More are dealt to tasks by what they
+    join whichever way, since a cycle lies within that; only a weak component that is larger by itself is coloured by joins.
     """
     e = written(e.select("src", "dst").distinct(), "edges")
-    size = e.agg(F.sum(F.octet_length("src") + F.octet_length("dst"))).first()[0] or 0
-    if size > few_bytes:
-        return coloured(e)
+    length = F.octet_length("src") + F.octet_length("dst")
+    size = e.agg(F.sum(length)).first()[0] or 0
 
     def run(batches):
         import pandas as pd
@@ -113,7 +137,18 @@ def components(e: DataFrame, few_bytes: int = FEW_BYTES) -> DataFrame:
             yield pd.DataFrame(tarjan(both["src"].tolist(), both["dst"].tolist()), columns=["node", "component"])
 
     workers_see_package(e.sparkSession)
-    return e.coalesce(1).mapInPandas(run, "node string, component string")
+    if size <= few_bytes:
+        return e.coalesce(1).mapInPandas(run, "node string, component string")
+    # nodes as hashes: two nodes of one hash can only join two weak components, which does no harm
+    n = 1 + size // SHARE_BYTES
+    a, b = F.xxhash64("src"), F.xxhash64("dst")
+    labels = weak_labels(e.select(a.alias("a"), b.alias("b")), n)
+    labelled = meet(e.withColumn("node", a), labels, "node", n, "left").select("src", "dst", F.coalesce("label", "node").alias("label"))
+    labelled = written(labelled.repartition(n, "label"), "labelled")
+    large = [r.label for r in labelled.groupBy("label").agg(F.sum(length).alias("size")).where(F.col("size") > few_bytes).select("label").collect()]
+    own = labelled.where(~F.col("label").isin(large)) if large else labelled
+    found = own.repartition(n, "label").select("src", "dst").mapInPandas(run, "node string, component string")
+    return found.unionByName(coloured(labelled.where(F.col("label").isin(large)).select("src", "dst"))) if large else found
 
 
 def coloured(e: DataFrame) -> DataFrame:
@@ -152,13 +187,12 @@ def coloured(e: DataFrame) -> DataFrame:
 def cycle_table(found: DataFrame) -> DataFrame:
     """cycle_id (from 1, in order of the least member), cycle_length and the sorted members as 'a -> b -> a'.
 
-    Ids come from a window over components of more than one member, which are few next to the modules.
+    Ids come from a window over the names of components alone, which are few next to the modules.
     """
-    from pyspark.sql import Window as W
-
-    by = found.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("m"))
+    by = written(found.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("m")), "cycles")
+    ids = by.select("component", F.row_number().over(W.orderBy("component")).cast("bigint").alias("cycle_id"))
     text = F.array_join(F.concat("m", F.slice("m", 1, 1)), " -> ")
-    return by.select(F.row_number().over(W.orderBy("component")).cast("bigint").alias("cycle_id"), F.size("m").cast("bigint").alias("cycle_length"), text.alias("cycle"))
+    return by.join(ids, "component").select("cycle_id", F.size("m").cast("bigint").alias("cycle_length"), text.alias("cycle"))
 
 
 def network(pairs: DataFrame) -> DataFrame:

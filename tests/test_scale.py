@@ -190,3 +190,28 @@ def test_conflicts_are_counted_without_pairs(spark, repeated):
     many = spark.range(2_000_000).selectExpr("id", "'f' as manifest_file", "'p' as package_name", "concat('==', id % 8, '.0') as version_spec")
     assert [tuple(r) for r in ecosystem.conflict_counts(many).collect()] == [("major_version_diff", 2_000_000 * 1_750_000 // 2)]
     assert ecosystem.conflict_counts(many.where("false")).count() == 0
+
+
+def test_components_of_many_weak_ones_are_not_coloured(spark, monkeypatch):
+    rng = random.Random(2)
+    edges = {(f"g{g:02d}n{rng.randrange(9)}", f"g{g:02d}n{rng.randrange(9)}") for g in range(60) for _ in range(14)}
+    edges = sorted((a, b) for a, b in edges if a != b)
+    df = spark.createDataFrame(edges, "src string, dst string")
+    want = sorted(graph.tarjan(*map(list, zip(*edges, strict=True))))
+    monkeypatch.setattr(graph, "SHARE_BYTES", 1000)
+    with monkeypatch.context() as m:
+        m.setattr(graph, "coloured", None)  # called only for a weak component that one task can't hold
+        found = graph.components(df, few_bytes=500)
+        assert sorted(map(tuple, found.collect())) == want and len(want) > 150
+    # one ring of 40 is too large for a task of 500 bytes, the others are not
+    ring = spark.createDataFrame([(f"r{k:02d}", f"r{(k + 1) % 40:02d}") for k in range(40)] + [("r00", "leaf")], "src string, dst string")
+    both = graph.components(df.where("src < 'g04'").unionByName(ring), few_bytes=200)
+    assert sorted(map(tuple, both.collect())) == sorted([x for x in want if x[0] < "g04"] + [(f"r{k:02d}", "r00") for k in range(40)])
+    table = graph.cycle_table(both).collect()
+    assert [r.cycle_id for r in sorted(table, key=lambda r: r.cycle)] == list(range(1, len(table) + 1)) and max(r.cycle_length for r in table) == 40
+
+
+def test_labels_of_a_long_way(spark):
+    chain = spark.range(3000).selectExpr("xxhash64(id) as a", "xxhash64(id + 1) as b").unionByName(spark.sql("select -5L as a, -6L as b"))
+    got = graph.weak_labels(chain, 4).collect()
+    assert len({r.node for r in got} | {r.label for r in got}) == 3003 and len(got) == 3001 and len({r.label for r in got}) == 2
